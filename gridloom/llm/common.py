@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
+import pickle
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +44,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast value; its class needn't be known where it is read. Call the result to get it."""
+    sent, got = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not got:
+            got.append(pickle.loads(sent.value))
+        return got[0]
+
+    return get
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -116,10 +128,3 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     return h
-
-
-def crc(text: bytes) -> int:
-    return zlib.crc32(text)
-
-
-_NAME = re.compile(r"[A-Za-z_]\w*$")

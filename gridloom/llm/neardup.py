@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import coded, mapped, mixed, texts, word_hashes, words, written
 from .components import components
 
-#: Half-keys on either side, and minhashes in a half-key: at similarity 0.8 a pair meets in no table with probability 8e-5.
-HALF_KEYS, HASHES = 10, 2
+#: Half-keys on either side, and minhashes in a half-key: at similarity 0.8 a pair meets in no table with probability
+#: 2 * (1 - 0.8 ** 3) ** 12 = 4e-4, at 0.85 with 2e-5. Two minhashes would let half-keys of unlike texts meet ever more often.
+HALF_KEYS, HASHES = 12, 3
 #: Share of equal minhashes from which a class and a bucket's centre belong to one cluster.
 NEAR = 0.45
 #: Documents and shingles of one block.
@@ -94,7 +95,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
 
 
 def _half_keys(classes: DataFrame) -> DataFrame:
-    """(class, side, i, half): the half-keys of each class."""
+    """(node, at, half): the half-keys of each class."""
 
     def one(batches):
         for batch in batches:
@@ -105,9 +106,9 @@ def _half_keys(classes: DataFrame) -> DataFrame:
             half = mixed(half + np.arange(2 * HALF_KEYS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             n = 2 * HALF_KEYS
             at = np.tile(np.arange(n, dtype=np.int32), batch.num_rows)
-            yield pa.record_batch({"class": batch.column("class").take(pa.array(np.repeat(np.arange(batch.num_rows), n))), "at": pa.array(at), "half": pa.array(half.reshape(-1).view(np.int64))})
+            yield pa.record_batch({"node": batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), n))), "at": pa.array(at), "half": pa.array(half.reshape(-1).view(np.int64))})
 
-    return classes.select("class", "sig").mapInArrow(one, "class string, at int, half long")
+    return classes.select("node", "sig").mapInArrow(one, "node long, at int, half long")
 
 
 def _near_centres(pairs: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def _near_centres(pairs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= NEAR))
 
-    return pairs.mapInArrow(one, "a string, b string")
+    return pairs.mapInArrow(one, "a long, b long")
 
 
 def _confirm(threshold: int):
@@ -128,7 +129,7 @@ def _confirm(threshold: int):
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        name = table.column("class").to_pylist()
+        name = table.column("node").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         same = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
         n = np.array([len(s) for s in sets], np.int64)
@@ -146,7 +147,7 @@ def _confirm(threshold: int):
 
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
-        pairs: list[tuple[str, str]] = []
+        pairs: list[tuple[int, int]] = []
         for k, i in enumerate(left):
             others = right[k + 1 :] if same else right
             if not len(others):
@@ -166,44 +167,46 @@ def _confirm(threshold: int):
                 if 100 * common >= threshold * (int(n[i] + n[j]) - common):
                     parent[a] = b
                     pairs.append((name[i], name[j]))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.string()), "b": pa.array([p[1] for p in pairs], pa.string())})
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
-def links(docs: DataFrame, sketched: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) between classes that join all that are linked."""
-    classes = written(sketched.where("class is not null").groupBy("class").agg(F.min_by("sig", "sig").alias("sig"), F.min("id").alias("id"), F.max("n_shingles").alias("n")), "classes")
+def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links (a, b) between the nodes of classes that join all that are linked.
+
+    classes: (node, class, sig, id, n), a row for each distinct shingle set, with the smallest id that has it."""
     halves = written(_half_keys(classes), "halves")
     # a class meets another in a table only if it shares a half-key on either side: only those half-keys form keys
-    shared = halves.groupBy("half").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("half")
+    shared = halves.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("half")
     kept = halves.join(shared, "half")
-    sides = kept.groupBy("class").agg(F.collect_list(F.when(F.col("at") < HALF_KEYS, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= HALF_KEYS, F.col("half"))).alias("right"))
-    keys = written(sides.select("class", F.explode("left").alias("l"), "right").select("class", "l", F.explode("right").alias("r")).select("class", F.xxhash64("l", "r").alias("key")), "keys")
-    centre = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", "key").alias("h"), F.col("class").alias("b"))).alias("c"), F.max("class").alias("hi"), F.min("class").alias("lo")).where("lo != hi").select("key", F.col("c.b").alias("b"))
-    pairs = keys.join(centre, "key").where("class != b").select(F.col("class").alias("a"), "b").distinct()
-    sig = classes.select(F.col("class"), "sig")
+    sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("at") < HALF_KEYS, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= HALF_KEYS, F.col("half"))).alias("right"))
+    keys = written(sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select("node", F.xxhash64("l", "r").alias("key")), "keys")
+    # one order of the classes chooses the centres, so that the tables of a family mostly agree on them
+    centre = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"))).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo")).where("lo != hi").select("key", F.col("c.b").alias("b"))
+    pairs = keys.join(centre, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    sig = classes.select("node", "sig")
     pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     clusters = components(_near_centres(pairs))
-    members = clusters.join(classes.select(F.col("class").alias("node"), "id", "n"), "node")
+    members = clusters.join(classes.select("node", "class", "id", "n"), "node")
     blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = written(members.join(blocks, "label").select(F.col("node").alias("class"), "label", "id", "blocks"), "members")
+    members = written(members.join(blocks, "label").select("node", "class", "label", "id", "blocks"), "members")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         got, starts = _of(batch, shingle, "_text")
         name = _classes(got, starts)
         keep = pa.array([a == b for a, b in zip(name, batch.column("class").to_pylist())])  # another row may carry the same id
         packed = pa.array([got[a:b].tobytes() for a, b in zip(starts, starts[1:])], pa.binary())
-        return pa.record_batch({"class": batch.column("class"), "label": batch.column("label"), "blocks": batch.column("blocks"), "shingles": packed}).filter(keep)
+        return pa.record_batch({"node": batch.column("node"), "label": batch.column("label"), "blocks": batch.column("blocks"), "shingles": packed}).filter(keep)
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     # a class whose rows all lack an id is found among the rows without one
-    with_text = found.join(members, found["id"].eqNullSafe(members["id"])).select("class", "label", "blocks", "_text")
-    full = mapped(with_text, sets, "class string, label string, blocks int, shingles binary", "_text")
-    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    with_text = found.join(members, found["id"].eqNullSafe(members["id"])).select("node", "class", "label", "blocks", "_text")
+    full = mapped(with_text, sets, "node long, label long, blocks int, shingles binary", "_text")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("class", "label", "shingles", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return dealt.groupBy("label", "bi", "bj").applyInArrow(_confirm(threshold), "a string, b string")
+    dealt = dealt.select("node", "label", "shingles", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+    return dealt.groupBy("label", "bi", "bj").applyInArrow(_confirm(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,11 +218,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_c
     that repeat an id stay rows of their own; a null id takes part, and gives way to ids that are not null. Other columns
     of docs are not read."""
     sketched = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    joined = components(links(docs, sketched, shingle, threshold, id_col, text_col))
+    of_class = sketched.where("class is not null").groupBy("class").agg(F.min_by("sig", "sig").alias("sig"), F.min("id").alias("id"), F.max("n_shingles").alias("n"))
+    classes = written(of_class.withColumn("node", F.monotonically_increasing_id()), "classes")
+    joined = components(links(docs, classes, shingle, threshold, id_col, text_col))
     # classes that are linked take their component's label; every other class is its own
-    least = sketched.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
-    named = written(least.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label")), "named")
-    top = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = written(classes.select("node", "class", "id").join(joined, "node", "left").select("class", "id", F.coalesce("label", "node").alias("label")), "named")
+    top = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = named.join(top, "label").select("class", "component_id")
     out = sketched.join(by_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
