@@ -58,7 +58,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         at = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(sizes))]
         return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))})
 
-    blocks = pack(docs, split, id_col, text_col, buckets)
+    blocks = pack(docs, split, id_col, text_col, buckets, keep=False)
     values = words_of(blocks).select("block", "bucket", "codes", "words").groupBy("bucket").applyInArrow(one, "block long, codes binary, ids binary, lengths binary")
     return put_together(blocks, values, build, "id long, ids array<int>").withColumnRenamed("id", id_col)
 

@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, slices, written
 from .pieces import packed, unpacked, unzipped, zipped
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _LEX = "array<struct<bucket:int,codes:binary,words:binary,more:binary>>"
 
 
-def pack(docs: DataFrame, split: Callable, id_col: str, text_col: str, buckets: int | None = None, more: Callable | None = None) -> DataFrame:
-    """Blocks, written to the shared folder: (block, ids, sizes, pos, lex).
+def pack(docs: DataFrame, split: Callable, id_col: str, text_col: str, buckets: int | None = None, more: Callable | None = None, keep: bool = True) -> DataFrame:
+    """Blocks: (block, ids, sizes, pos, lex), written to the shared folder if they are kept.
 
     split: a slice to (distinct words, codes, where documents begin); more: the slice and these three to an integer for
-    each distinct word, which travels with it."""
+    each distinct word, which travels with it. Blocks that aren't kept are made again for each use, which takes less disk;
+    their numbers then rely on docs giving the same slices again, as tables in files do, and put_together checks it."""
     n = buckets or 4 * shuffle_width(docs.sparkSession)
 
     def run(batches):
@@ -42,10 +43,12 @@ def pack(docs: DataFrame, split: Callable, id_col: str, text_col: str, buckets:
             for rows in np.split(order, cuts) if len(order) else []:
                 lex.append({"bucket": int(bucket[rows[0]]), "codes": zipped(rows.astype(np.uint32)), "words": packed([distinct[i] for i in rows.tolist()]), "more": None if extra is None else zipped(extra[rows])})
             kind = pa.list_(pa.struct([("bucket", pa.int32()), ("codes", pa.binary()), ("words", pa.binary()), ("more", pa.binary())]))
+            del distinct, bucket, order
             yield pa.record_batch({"block": pa.array([serial], pa.int64()), "ids": pa.array([part.column(id_col).cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([zipped(np.diff(starts).astype(np.uint32))], pa.binary()), "pos": pa.array([zipped(codes.astype(np.uint32))], pa.binary()), "lex": pa.array([lex], kind)})
             serial += 1
 
-    return written(docs.select(id_col, text_col).mapInArrow(run, f"block long, ids array<long>, sizes binary, pos binary, lex {_LEX}"), "blocks")
+    blocks = docs.select(id_col, text_col).mapInArrow(run, f"block long, ids array<long>, sizes binary, pos binary, lex {_LEX}")
+    return written(blocks, "blocks") if keep else blocks
 
 
 def words_of(blocks: DataFrame) -> DataFrame:
@@ -67,7 +70,11 @@ def put_together(blocks: DataFrame, values: DataFrame, build: Callable, schema:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for i in range(left.num_rows):
-            out.append(build(left.column("ids")[i].as_py(), unzipped(left.column("sizes")[i].as_py(), np.uint32).astype(np.int64), unzipped(left.column("pos")[i].as_py(), np.uint32), right))
+            codes = sum(int.from_bytes(x[:8], "little") for x in right.column("codes").to_pylist())
+            pos = unzipped(left.column("pos")[i].as_py(), np.uint32)
+            if codes != (int(pos.max()) + 1 if len(pos) else 0):
+                raise RuntimeError("the texts were sliced in another way; write them to a table first")
+            out.append(build(left.column("ids")[i].as_py(), unzipped(left.column("sizes")[i].as_py(), np.uint32).astype(np.int64), pos, right))
         return pa.concat_tables(out)
 
     return blocks.select("block", "ids", "sizes", "pos").groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, schema)

@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy, over all overlapping windows.
 
-A word's input is an embedding of the word and the mean embedding of its character trigrams, both hashed. A document's
+A word's input is an embedding of the word, of its first four and its first six bytes, and the mean embedding of its
+character trigrams, all hashed; a word that is repeated at once counts once. What fewer training documents than RARE hold has no embedding of its own. A document's
 score is that of its worst window, calibrated on the training documents."""
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import coded, mapped, residue, shared, texts
+from .pieces import gathered
 
-WORD_SLOTS, CHAR_SLOTS, D, H = 1 << 16, 1 << 13, 8, 8
+#: Slots of words and of their beginnings; of trigrams; dimensions of an embedding and of a hidden state; documents that make a slot.
+SLOTS = {"word": 1 << 18, "six": 1 << 17, "four": 1 << 16}
+CHAR_SLOTS, D, H, RARE = 1 << 11, 8, 8, 6
+INPUTS = (len(SLOTS) + 1) * D
 #: Words of a window, and between the beginnings of two.
 WINDOW, STRIDE = 32, 16
 #: Windows that go through the network at once.
@@ -40,28 +45,38 @@ def tokens(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def slots(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word slot of each word, the slots of its trigrams one after another, and how many it has."""
-    word = np.fromiter((zlib.crc32(w) % WORD_SLOTS for w in distinct), np.int64, len(distinct))
+def slots(distinct: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Each word's slots by table; the slots of its trigrams one after another, and how many it has."""
+    cut = {"word": None, "six": 6, "four": 4}
+    own = {k: np.fromiter((zlib.crc32(w[:n]) % SLOTS[k] for w in distinct), np.int64, len(distinct)) for k, n in cut.items()}
     padded = [b"<" + w + b">" for w in distinct]
     count = np.fromiter((len(w) - 2 for w in padded), np.int64, len(padded))
     flat = np.frombuffer(b"".join(padded), np.uint8).astype(np.int64)
     first = np.cumsum(count + 2) - (count + 2)
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
     tri = ((flat[at] * 263 + flat[at + 1]) * 263 + flat[at + 2]) * 2654435761 % (1 << 32) % CHAR_SLOTS if len(at) else np.zeros(0, np.int64)
-    return word, tri, count
+    return own, tri, count
 
 
 def embedded(net: Network, distinct: list[bytes]) -> np.ndarray:
     """The input of each distinct word; the last row, zeros, is for places without a word."""
-    out = np.zeros((len(distinct) + 1, 2 * D), np.float32)
+    out = np.zeros((len(distinct) + 1, INPUTS), np.float32)
     if distinct:
-        word, tri, count = slots(distinct)
-        out[:-1, :D] = net.p["word"][word]
-        out[:-1, D:] = np.add.reduceat(net.p["char"][tri], np.cumsum(count) - count) / count[:, None]
+        own, tri, count = slots(distinct)
+        for i, (k, at) in enumerate(own.items()):
+            out[:-1, i * D : (i + 1) * D] = net.p[k][at]
+        out[:-1, -D:] = np.add.reduceat(net.p["char"][tri], np.cumsum(count) - count) / count[:, None]
     return out
 
 
+def collapsed(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the repeats of a word that directly follow it in its document."""
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    new[starts[:-1][starts[:-1] < len(codes)]] = True
+    return codes[new], np.append(0, np.cumsum(new))[starts]
+
+
 def windows(codes: np.ndarray, starts: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
     """All windows' words (none: no word there) and each window's document; a document without words has one empty window."""
     n = np.diff(starts)
@@ -98,12 +113,12 @@ def _run(net: Network, d: str, xw: np.ndarray, mask: np.ndarray, keep: bool = Fa
     return out, saved
 
 
-def forward(net: Network, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-    """Logits of windows; x: (window, time, 2D), mask: (window, time)."""
+def forward(net: Network, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
+    """Logits of windows. x: inputs of distinct words, ids: (window, time) rows of it, mask: where there is a word."""
     p = net.p
-    xt, m = x.transpose(1, 0, 2), mask.T[:, :, None].astype(np.float32)
-    a, sa = _run(net, "f", xt @ p["wf"] + p["bf"], m, keep)
-    b, sb = _run(net, "b", (xt @ p["wb"] + p["bb"])[::-1], m[::-1], keep)
+    at, m = ids.T, mask.T[:, :, None].astype(np.float32)
+    a, sa = _run(net, "f", (x @ p["wf"] + p["bf"])[at], m, keep)
+    b, sb = _run(net, "b", (x @ p["wb"] + p["bb"])[at[::-1]], m[::-1], keep)
     hid = np.concatenate([a, b[::-1]], 2)
     att = np.tanh(hid @ p["wa"])
     s = att @ p["va"] + np.where(m[:, :, 0] > 0, 0, -30).astype(np.float32)
@@ -111,7 +126,7 @@ def forward(net: Network, x: np.ndarray, mask: np.ndarray, keep: bool = False):
     alpha = s / s.sum(0)
     pooled = np.einsum("tn,tnh->nh", alpha, hid)
     logit = pooled @ p["vo"] + p["bo"][0]
-    return (logit, (xt, m, sa, sb, hid, att, alpha, pooled)) if keep else logit
+    return (logit, (x[at], m, sa, sb, hid, att, alpha, pooled)) if keep else logit
 
 
 def _back_gru(net: Network, d: str, dh_all: np.ndarray, saved, xt: np.ndarray, m: np.ndarray, grad: dict) -> np.ndarray:
@@ -136,10 +151,10 @@ def _back_gru(net: Network, d: str, dh_all: np.ndarray, saved, xt: np.ndarray, m
 
 
 def backward(net: Network, dlogit: np.ndarray, kept) -> tuple[dict, np.ndarray]:
-    """Gradients of the weights and of the inputs (window, time, 2D)."""
+    """Gradients of the weights and of the inputs (window, time, INPUTS)."""
     p = net.p
     xt, m, sa, sb, hid, att, alpha, pooled = kept
-    grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
+    grad = {k: np.zeros_like(v) for k, v in p.items() if k not in (*SLOTS, "char")}
     grad["vo"], grad["bo"] = pooled.T @ dlogit, np.array([dlogit.sum()], np.float32)
     dpool = dlogit[:, None] * p["vo"]
     dalpha = np.einsum("nh,tnh->tn", dpool, hid)
@@ -157,7 +172,8 @@ def _logits(net: Network, x: np.ndarray, ids: np.ndarray, none: int) -> np.ndarr
     out = np.empty(len(ids), np.float32)
     for at in range(0, len(ids), AT_ONCE):
         part = ids[at : at + AT_ONCE]
-        out[at : at + AT_ONCE] = forward(net, x[part], part != none)
+        used, inner = np.unique(part, return_inverse=True)
+        out[at : at + AT_ONCE] = forward(net, x[used], inner.reshape(part.shape), part != none)
     return out
 
 
@@ -167,27 +183,34 @@ def _worst(logit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return order[np.searchsorted(doc[order], np.arange(n), side="right") - 1]
 
 
-def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 10, rate: float = 0.01) -> Network:
+def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.01, decay: float = 1e-4) -> Network:
     """Trains on the worst window of each document and one other of each clean one. One class alone gives a constant."""
     rng = np.random.default_rng(3)
     n = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-    net = Network({"word": n(WORD_SLOTS, D, s=0.05), "char": n(CHAR_SLOTS, D, s=0.05), "va": n(8, s=0.3), "wa": n(2 * H, 8, s=0.3), "vo": n(2 * H, s=0.3), "bo": np.zeros(1, np.float32)})
+    net = Network({"char": n(CHAR_SLOTS, D, s=0.05), "va": n(8, s=0.3), "wa": n(2 * H, 8, s=0.3), "vo": n(2 * H, s=0.3), "bo": np.zeros(1, np.float32)})
     for d in "fb":
-        net.p |= {"w" + d: n(2 * D, 3 * H, s=0.25), "u" + d: n(H, 3 * H, s=0.25), "b" + d: np.zeros(3 * H, np.float32)}
+        net.p |= {"w" + d: n(INPUTS, 3 * H, s=0.25), "u" + d: n(H, 3 * H, s=0.25), "b" + d: np.zeros(3 * H, np.float32)}
+    net.p |= {k: np.zeros((size, D), np.float32) for k, size in SLOTS.items()}
     if not len(y) or y.min() == y.max():
         net.scale, net.shift = 0.0, (3.0 if len(y) and y.min() else -3.0)
         return net
     distinct, codes, starts = coded([tokens(t) for t in docs])
-    word, tri, count = slots(distinct)
-    # the words' first dimension starts as how much more toxic documents have the slot
+    codes, starts = collapsed(codes, starts)
+    own, tri, count = slots(distinct)
+    # the first dimension of an embedding starts as how much more toxic documents have the slot
     owner = np.repeat(np.arange(len(docs)), np.diff(starts))
-    pair = np.unique(owner * WORD_SLOTS + word[codes])
-    have = [np.bincount(pair[y[pair // WORD_SLOTS] == c] % WORD_SLOTS, minlength=WORD_SLOTS) for c in (0, 1)]
-    odds = np.log((have[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((have[0] + 0.5) / ((y == 0).sum() + 1))
-    net.p["word"][:, 0] = np.clip(odds * sum(have) / (sum(have) + 10), -3, 3)
+    known = {}
+    for k, size in SLOTS.items():
+        pair = np.unique(owner * size + own[k][codes])
+        have = [np.bincount(pair[y[pair // size] == c] % size, minlength=size) for c in (0, 1)]
+        odds = np.log((have[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((have[0] + 0.5) / ((y == 0).sum() + 1))
+        known[k] = sum(have) >= RARE
+        net.p[k] = np.where(known[k][:, None], n(size, D, s=0.05), np.float32(0))
+        net.p[k][:, 0] = np.where(known[k], np.clip(odds * sum(have) / (sum(have) + 5), -3, 3), 0)
     ids, doc = windows(codes, starts, len(distinct))
-    tri_owner = np.repeat(np.arange(len(distinct)), count)
-    first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
+    dense = {k: v for k, v in net.p.items() if k not in SLOTS}
+    first, second = ({k: np.zeros_like(v) for k, v in dense.items()} for _ in range(2))
+    squares = {k: np.full_like(net.p[k], 1e-4) for k in SLOTS}
     step = 0
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()).astype(np.float32)
     for epoch in range(epochs):
@@ -201,23 +224,37 @@ def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 10, rate: float
             used, inner = np.unique(part, return_inverse=True)
             inner = inner.reshape(part.shape)
             real = used[used < len(distinct)]
-            inputs = embedded(net, [distinct[i] for i in real.tolist()])
-            logit, kept = forward(net, inputs[np.minimum(inner, len(real))], part != len(distinct), True)
+            runs, size = gathered(count, tri, real)
+            inputs = np.zeros((len(real) + 1, INPUTS), np.float32)
+            for i, k in enumerate(SLOTS):
+                inputs[:-1, i * D : (i + 1) * D] = net.p[k][own[k][real]]
+            if len(real):
+                inputs[:-1, -D:] = np.add.reduceat(net.p["char"][runs], np.cumsum(size) - size) / size[:, None]
+            logit, kept = forward(net, inputs, np.minimum(inner, len(real)), part != len(distinct), True)
             dlogit = ((_sigmoid(logit) - y[doc[rows]]) * weight[doc[rows]] / len(rows)).astype(np.float32)
             grad, dx = backward(net, dlogit, kept)
-            dword = np.zeros((len(used), 2 * D), np.float32)
-            np.add.at(dword, inner.ravel(), dx.reshape(-1, 2 * D))
+            dword = np.zeros((len(used), INPUTS), np.float32)
+            np.add.at(dword, inner.ravel(), dx.reshape(-1, INPUTS))
             dword = dword[: len(real)]
-            grad["word"], grad["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(grad["word"], word[real], dword[:, :D])
-            mine = np.isin(tri_owner, real)
-            at_real = np.searchsorted(real, tri_owner[mine])
-            np.add.at(grad["char"], tri[mine], dword[at_real, D:] / count[real][at_real][:, None])
+            sparse = {}
+            for i, k in enumerate(SLOTS):
+                at_slot, place = np.unique(own[k][real], return_inverse=True)
+                g = np.zeros((len(at_slot), D), np.float32)
+                np.add.at(g, place, dword[:, i * D : (i + 1) * D])
+                sparse[k] = (at_slot[known[k][at_slot]], g[known[k][at_slot]])
+            grad["char"] = np.zeros_like(net.p["char"])
+            np.add.at(grad["char"], runs, np.repeat(dword[:, -D:] / size[:, None], size, axis=0))
             step += 1
+            now = rate * 0.5 ** (epoch / 3)
             for k, g in grad.items():
+                g = g + (20 * decay if k == "char" else decay) * net.p[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                net.p[k] = (net.p[k] - rate * (0.5 ** (epoch / 4)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.p[k] = (net.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            for k, (at_slot, g) in sparse.items():
+                g = g + decay * net.p[k][at_slot]
+                squares[k][at_slot] += g * g
+                net.p[k][at_slot] -= now * g / (np.sqrt(squares[k][at_slot]) + 1e-6)
     x = embedded(net, distinct)
     logit = _logits(net, x, ids, len(distinct))
     top = logit[_worst(logit, doc, len(docs))].astype(float)
@@ -248,6 +285,7 @@ def toxicity(docs: DataFrame, network: Network, threshold: float = 0.7, id_col:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         net = known()
         distinct, codes, starts = coded([tokens(t) for t in texts(batch, text_col)])
+        codes, starts = collapsed(codes, starts)
         ids, doc = windows(codes, starts, len(distinct))
         logit = _logits(net, embedded(net, distinct), ids, len(distinct))
         top = logit[_worst(logit, doc, batch.num_rows)].astype(np.float64)
