@@ -55,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the texts as token ids."""
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks), "doc_id", max(ranks.values()) + 1, keep_ids=True)
+    return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks), "doc_id", keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -7,13 +7,14 @@ import base64
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import shared
 from .lexicon import distinct_in, pack, put_together, words_of
 from .pieces import gathered, piece_codes, unzipped, zipped
 
 #: Bytes that a rank file may have, since it is broadcast; ids that are decoded at once.
-RANKS_BYTES, IDS_AT_ONCE = 64 << 20, 4_000_000
+RANKS_BYTES, IDS_AT_ONCE = 64 << 20, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,7 +33,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     known = shared(docs.sparkSession, ranks)
 
     def split(part: pa.RecordBatch):
-        return piece_codes([t or "" for t in part.column(text_col).to_pylist()], pattern)
+        return piece_codes(part.column(text_col), pattern)
 
     def one(table: pa.Table) -> pa.Table:
         import tiktoken
@@ -102,17 +103,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
     return encoded.mapInArrow(run, f"{fields}, {out_col} binary")
 
 
-def digests(decoded: DataFrame, id_col: str, size: int, keep_ids: bool = False) -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of rows with ids and decoded, and ids if they are kept; size: ids are below it."""
-    import hashlib
+def digests(decoded: DataFrame, id_col: str, keep_ids: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of rows with ids and decoded, and ids if they are kept.
 
-    def run(batches):
-        decimal = pa.array([*(b"%d " % i for i in range(size)), b""], pa.binary())
-        for batch in batches:
-            n = pa.compute.fill_null(pa.compute.list_value_length(batch.column("ids")), 0).cast(pa.int64())
-            ids = [hashlib.sha256(x[:-1]).hexdigest() for x in joined(decimal, batch, "ids")]
-            text = [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
-            more = [batch.column("ids")] if keep_ids else []
-            yield pa.record_batch([batch.column(id_col), n, pa.array(ids, pa.string()), pa.array(text, pa.string()), *more], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"][: len(more)]])
-
-    return decoded.select(id_col, "ids", "decoded").mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    Built-in functions: another Python worker for each task would take more memory than the digests are worth."""
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    out = [F.col(id_col), F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return decoded.select(*out, *(["ids"] if keep_ids else []))

@@ -2,45 +2,82 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 
-from .common import coded
-
-_BREAK = re.compile(r"\s | \s")
+# --- fixed values: white space, as any dialect has it ---
+_WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# --- end of fixed values ---
+_BREAK = f"{_WS} | {_WS}"
+_MARKS = frozenset(".,;:!?")
+
+
+def _stretches(docs: pa.Array, find) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of all texts one after another, and how many each text has. A line feed marks one that follows no space."""
+    whole = pa.compute.match_substring_regex(docs, _BREAK).to_numpy(zero_copy_only=False)
+    marked = pa.compute.binary_join_element_wise("\n", docs, "")
+    parts = pa.compute.split_pattern(marked.filter(pa.array(~whole)), " ")
+    count = np.zeros(len(docs), np.int64)
+    count[~whole] = pa.compute.list_value_length(parts).to_numpy(zero_copy_only=False)
+    flat = parts.flatten()
+    if not whole.any():
+        return flat, count
+    odd = [["\n" + p for p in find(t)] for t in docs.filter(pa.array(whole)).to_pylist()]
+    count[whole] = [len(x) for x in odd]
+    flat = pa.concat_arrays([flat, pa.array([x for y in odd for x in y], pa.string())])
+    # back into the order of the texts
+    order = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])
+    first = np.zeros(len(docs), np.int64)
+    first[order] = np.cumsum(count[order]) - count[order]
+    ends = np.cumsum(count)
+    return flat.take(pa.array(np.repeat(first - (ends - count), count) + np.arange(ends[-1]))), count
 
 
-def piece_codes(docs: list[str], pattern: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def piece_codes(docs: list[str] | pa.Array, pattern: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct pre-tokens, the number of its pre-token for each place, and where each document begins.
 
     A single space between characters that are not white space always begins a pre-token, so the stretches between such
     spaces can be split on their own, each distinct one once. A text with other white space next to a space is split as a
-    whole. A line feed marks the stretches that don't follow a space."""
+    whole."""
     import regex
 
     find = regex.compile(pattern).findall
-    flat: list[str] = []
-    sizes = np.zeros(len(docs) + 1, np.int64)
-    for i, t in enumerate(docs):
-        if _BREAK.search(t):
-            parts = ["\n" + p for p in find(t)]
-        else:
-            parts = t.split(" ")
-            parts[0] = "\n" + parts[0]
-        flat += parts
-        sizes[i + 1] = len(parts)
-    code = pa.array(flat, pa.string()).dictionary_encode()
+    if not isinstance(docs, pa.Array):
+        docs = pa.array(docs, pa.string())
+    flat, sizes = _stretches(pa.compute.fill_null(docs, ""), find)
+    code = flat.dictionary_encode()
     del flat
-    units = [[p.encode() for p in find(u[1:] if u[:1] == "\n" else " " + u)] for u in code.dictionary.to_pylist()]
+    pieces: list[str] = []
+    first = np.zeros(len(code.dictionary) + 1, np.int64)
+    plain = _plain(pattern)
+    for i, u in enumerate(code.dictionary.to_pylist()):
+        u = u[1:] if u[:1] == "\n" else " " + u
+        body = u[1:]
+        if plain and u[:1] == " " and body.isalpha():
+            pieces.append(u)
+        elif plain and u[:1] == " " and body[-1:] in _MARKS and body[:-1].isalpha():
+            pieces += (u[:-1], body[-1])
+        else:
+            pieces += find(u)
+        first[i + 1] = len(pieces)
     at = code.indices.to_numpy(zero_copy_only=False)
-    distinct, codes, first = coded(units)
-    count = np.diff(first)[at]
-    ends = np.cumsum(count)
+    own = pa.array(pieces, pa.string()).dictionary_encode()
+    codes = own.indices.to_numpy(zero_copy_only=False)
+    del pieces, code
+    count = np.diff(first).astype(np.int32)[at]
+    ends = np.cumsum(count, dtype=np.int64)
     out = np.append(0, ends)
-    place = np.repeat(first[:-1][at] - (ends - count), count) + np.arange(out[-1])
-    return distinct, codes[place] if len(codes) else np.zeros(0, np.int32), out[np.cumsum(sizes)]
+    place = np.repeat((first[:-1][at] - (ends - count)).astype(np.int32), count) + np.arange(out[-1], dtype=np.int32)
+    got = codes[place] if len(codes) else np.zeros(0, np.int32)
+    return own.dictionary.cast(pa.binary()).to_pylist(), got, out[np.append(0, np.cumsum(sizes))]
+
+
+def _plain(pattern: str) -> bool:
+    """Whether the pattern takes a space and letters as one pre-token, and a mark behind them as another."""
+    import regex
+
+    found = regex.compile(pattern).findall
+    return all(found(x) == y for x, y in ((" ab,", [" ab", ","]), (" Éa.", [" Éa", "."]), (" x!", [" x", "!"]), (" ñé", [" ñé"]), (" a?", [" a", "?"]), (" b;", [" b", ";"]), (" c:", [" c", ":"])))
 
 
 def zipped(a: np.ndarray) -> bytes:
@@ -73,8 +110,11 @@ def unpacked(data: bytes) -> pa.Array:
 
 def gathered(lengths: np.ndarray, values: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values is cut into runs of lengths; the runs that codes names, one after another, and each one's length."""
-    first = np.cumsum(lengths) - lengths
+    first = np.cumsum(lengths, dtype=np.int64) - lengths
     count = lengths[codes]
-    ends = np.cumsum(count)
-    place = np.repeat(first[codes] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(count, dtype=np.int64)
+    n = int(ends[-1]) if len(ends) else 0
+    narrow = np.int32 if max(n, len(values)) < 1 << 31 else np.int64
+    place = np.repeat((first[codes] - (ends - count)).astype(narrow), count)
+    place += np.arange(n, dtype=narrow)
     return values[place], count

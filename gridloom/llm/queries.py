@@ -25,7 +25,7 @@ from .weak import classify
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     ranks = load_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = encode(table(spark, sf_dir, "documents"), ranks, pattern or public_tokenizers.PATTERN)
-    return digests(decode(encoded, ranks), "doc_id", max(ranks.values()) + 1)
+    return digests(decode(encoded, ranks), "doc_id")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from .pieces import gathered, piece_codes
 ROLL, BITS, MOST = 16, 8, 2048
 #: Pre-tokens that go to the tokenizer in one string.
 AT_ONCE = 256
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 28 << 20
+#: Pre-tokens whose documents are put together at once, unless a single one has more.
+PIECES_AT_ONCE = 600_000
 #: Bytes that a tokenizer file may have, since it is broadcast.
 TOKENIZER_BYTES = 64 << 20
-_M = 0x9E3779B97F4A7C15
-_M_INVERSE = pow(_M, -1, 1 << 64)
 
 
 def address(data: bytes) -> bytes:
@@ -46,24 +47,21 @@ def root(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def _powers(m: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(m))
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def cuts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where chunks begin, and the end: at documents' starts, where the rolling hash says so, and after MOST ids."""
+    """Where chunks begin, and the end: at documents' starts, where the rolling hash says so, and after MOST ids.
+
+    The hash of a window is the sum of its ids' random numbers: it rolls by adding one and taking one away."""
     n = len(ids)
     if not n:
         return np.zeros(1, np.int64)
-    sums = np.append(np.uint64(0), np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * _powers(_M_INVERSE, n), dtype=np.uint64))
-    last = np.arange(ROLL, n + 1)
-    h = (sums[last] - sums[last - ROLL]) * _powers(_M, n)[last - 1]
-    h ^= h >> np.uint64(29)
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    at = last[(h >> np.uint64(64 - BITS)) == 0]
+    np.cumsum(h, out=h)
+    rolled = h[ROLL - 1 :].copy()
+    rolled[1:] -= h[:-ROLL]
+    rolled *= np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero(rolled < np.uint64(1 << (64 - BITS))) + ROLL
     doc = np.searchsorted(starts, at, side="right") - 1
     at = at[(at - starts[doc] >= ROLL) & (at < n)]  # its window lies in one document
     edges = np.unique(np.concatenate([starts[(starts < n)], at, [n]]))
@@ -127,16 +125,19 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return np.bincount(owner, minlength=len(pieces)), ids[order]
 
-    def texts(self, docs: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents one after another, each with end_id, and where documents begin (one more at the end)."""
+    def texts(self, docs: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of documents: the first one's number, all ids one after another, each document with end_id, and where
+        documents begin (one more at the end)."""
         pieces, codes, starts = piece_codes(docs, self.pattern)
         lengths, flat = self.distinct(pieces)
-        ids, count = gathered(lengths, flat, codes)
-        at = np.append(0, np.cumsum(count))[starts]
-        if end_id is not None:
-            ids = np.insert(ids, at[1:], end_id)
-            at = at + np.arange(len(at))
-        return ids, at
+        lengths, flat = lengths.astype(np.int32), flat.astype(np.uint32)
+        lo = 0
+        while lo < len(docs):
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + PIECES_AT_ONCE, side="right")) - 1)
+            ids, count = gathered(lengths, flat, codes[starts[lo] : starts[hi]])
+            at = np.append(0, np.cumsum(count))[starts[lo : hi + 1] - starts[lo]]
+            yield lo, np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            lo = hi
 
 
 def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -154,23 +155,27 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
         encoder = None
         for part in slices(batches, text_col, SLICE_BYTES):
             encoder = encoder or Encoder(known(), pattern)
-            ids, starts = encoder.texts([t or "" for t in part.column(text_col).to_pylist()], end_id)
-            wide = np.uint16 if len(encoder.length) <= 1 << 16 and end_id < 1 << 16 else np.uint32
-            raw = np.ascontiguousarray(ids.astype(wide)).tobytes()
-            size = np.dtype(wide).itemsize
-            edge = cuts(ids, starts)
-            data = [raw[a * size : b * size] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-            names = [address(x) for x in data]
-            count = np.diff(edge)
-            of = np.searchsorted(edge, starts)
-            recipes = [{"id": None if i is None else int(i), "tokens": int(starts[k + 1] - starts[k]), "refs": [{"a": names[j], "n": int(count[j])} for j in range(of[k], of[k + 1])], "tie": root(names[of[k] : of[k + 1]])} for k, i in enumerate(part.column(id_col).to_pylist())]
-            new = dict(zip(names, range(len(names))))
-            n, m = len(recipes), len(new)
-            refs = pa.list_(pa.struct([("a", pa.binary()), ("n", pa.int32())]))
-            recipe = pa.struct([("id", pa.int64()), ("tokens", pa.int64()), ("refs", refs), ("tie", pa.binary())])
-            # recipes are dealt out by a running number, chunks by their address
-            key = [b"%d" % (zlib.crc32(r["tie"]) ^ k) for k, r in enumerate(recipes)] + list(new)
-            yield pa.record_batch({"kind": pa.array(["recipes"] * n + ["chunks"] * m, pa.string()), "a": pa.array(key, pa.binary()), "n": pa.array([None] * n + [int(count[j]) for j in new.values()], pa.int32()), "data": pa.array([None] * n + [data[j] for j in new.values()], pa.binary()), "recipe": pa.array(recipes + [None] * m, recipe)})
+            wide = np.dtype(np.uint16 if len(encoder.length) <= 1 << 16 and end_id < 1 << 16 else np.uint32)
+            doc_ids = part.column(id_col).to_pylist()
+            seen: set[bytes] = set()
+            for lo, ids, starts in encoder.texts(part.column(text_col), end_id):
+                edge = cuts(ids, starts)
+                raw = ids.astype(wide).tobytes()
+                bounds = (edge * wide.itemsize).tolist()
+                data = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+                names = list(map(address, data))
+                count = np.diff(edge).astype(np.int32)
+                of = np.searchsorted(edge, starts).tolist()
+                docs_here = len(starts) - 1
+                tie = [root(names[a:b]) for a, b in zip(of, of[1:])]
+                new = [j for j, a in enumerate(names) if a not in seen and not seen.add(a)]
+                m = len(new)
+                refs = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(count)], ["a", "n"]))
+                recipe = pa.StructArray.from_arrays([pa.array(doc_ids[lo : lo + docs_here], pa.int64()), pa.array(np.diff(starts), pa.int64()), refs, pa.array(tie, pa.binary())], ["id", "tokens", "refs", "tie"])
+                # recipes are dealt out by a running number, chunks by their address
+                key = [b"%d" % (zlib.crc32(r) ^ k) for k, r in enumerate(tie)] + [names[j] for j in new]
+                none = pa.nulls(m, recipe.type)
+                yield pa.record_batch({"kind": pa.array(["recipes"] * docs_here + ["chunks"] * m, pa.string()), "a": pa.array(key, pa.binary()), "n": pa.array([None] * docs_here + count[new].tolist(), pa.int32()), "data": pa.array([None] * docs_here + [data[j] for j in new], pa.binary()), "recipe": pa.concat_arrays([recipe, none])})
 
     schema = "kind string, a binary, n int, data binary, recipe struct<id:bigint,tokens:bigint,refs:array<struct<a:binary,n:int>>,tie:binary>"
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, schema)
@@ -256,15 +261,23 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     def combined(batches):
         shifts = _zero_ids(MOST)
         for batch in batches:
-            parts = batch.column("parts").to_pylist()
-            counts = np.array([len(p) for p in parts], np.int64)
+            if not batch.num_rows:
+                continue
+            parts = batch.column("parts")
+            counts = pa.compute.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, first = parts.flatten(), np.cumsum(counts) - counts
+            n, each = flat.field("n").to_numpy(zero_copy_only=False), pa.compute.fill_null(flat.field("crc"), 0).to_numpy(zero_copy_only=False).astype(np.uint32)
             crc = np.zeros(len(parts), np.uint32)
-            for k in range(int(counts.max(initial=0))):
+            for k in range(int(counts.max())):
                 rows = np.flatnonzero(counts > k)
-                now = [parts[i][k] for i in rows]
-                crc[rows] = _shift(crc[rows], shifts[[x["n"] for x in now]]) ^ np.array([x["crc"] or 0 for x in now], np.uint32)
-            good = [all(x["good"] for x in p) and sum(x["n"] for x in p) == n and root([x["a"] for x in p]) == r for p, n, r in zip(parts, batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist())]
-            yield pa.record_batch({"id": batch.column("id"), "start": batch.column("start"), "n_tokens": batch.column("n_tokens"), "ids_crc32": pa.array(crc.astype(np.int64)), "verified": pa.array(good)})
+                at = first[rows] + k
+                crc[rows] = _shift(crc[rows], shifts[n[at]]) ^ each[at]
+            sound = pa.compute.fill_null(flat.field("good"), False).to_numpy(zero_copy_only=False)
+            names = flat.field("a").to_pylist()
+            sums, fine = np.add.reduceat(n, first), np.logical_and.reduceat(sound, first)
+            tokens, roots = batch.column("n_tokens").to_numpy(zero_copy_only=False), batch.column("root").to_pylist()
+            good = [bool(fine[i]) and sums[i] == tokens[i] and root(names[first[i] : first[i] + counts[i]]) == roots[i] for i in range(len(parts))]
+            yield pa.record_batch({"id": batch.column("id"), "start": batch.column("start"), "n_tokens": batch.column("n_tokens"), "ids_crc32": pa.array(crc.astype(np.int64)), "verified": pa.array([bool(x) for x in good])})
 
     return parts.mapInArrow(combined, "id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
