@@ -143,9 +143,11 @@ def separator_votes(texts: Column) -> tuple[Column, Column]:
     return eu, us
 
 
-def locale_of(eu: Column, us: Column) -> Column:
+def locale_of(eu: Column, us: Column) -> tuple[Column, Column]:
     """(locale, confidence) of votes."""
-    return F.when(eu > us, F.struct(F.lit("de_DE").alias("locale"), F.least(F.lit(0.9), 0.5 + (eu - us) / (eu + us)).alias("confidence"))).when(us > 0, F.struct(F.lit("en_US"), F.least(F.lit(0.9), 0.5 + (us - eu) / (eu + us)))).otherwise(F.struct(F.lit("en_US"), F.lit(0.7)))
+    locale = F.when(eu > us, "de_DE").otherwise("en_US")
+    lead = F.least(F.lit(0.9), 0.5 + F.abs(eu - us) / (eu + us))
+    return locale, F.when((eu > us) | (us > 0), lead).otherwise(0.7)
 
 
 def locales(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
@@ -155,8 +157,8 @@ def locales(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
     near = cells.join(region, keys).where((F.col("row") < F.col("start_row") + r) & (F.col("col") < F.col("start_col") + c))
     eu, us = separator_votes(F.col("s"))
     votes = near.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("number_format").rlike("|".join(EUROPEAN_FORMATS))), F.lit(False)).alias("marked"), eu.alias("eu"), us.alias("us"))
-    marked = F.struct(F.lit("de_DE").alias("locale"), F.lit(0.9).alias("confidence"))
-    return votes.select(*keys, F.when(F.col("marked"), marked).otherwise(locale_of(F.col("eu"), F.col("us"))).alias("x")).select(*keys, "x.*")
+    locale, sure = locale_of(F.col("eu"), F.col("us"))
+    return votes.select(*keys, F.when(F.col("marked"), "de_DE").otherwise(locale).alias("locale"), F.when(F.col("marked"), 0.9).otherwise(sure).alias("confidence"))
 
 
 def raw_header_rows(cells: DataFrame, keys: list[str], most: int = 10) -> DataFrame:

@@ -27,7 +27,8 @@ def drop_hidden(cells: DataFrame, dims: DataFrame) -> DataFrame:
     for axis in ("row", "col"):
         out = out.join(_hidden_of(dims, axis), SHEET, "left")
         gone = F.coalesce(F.col(f"_{axis}"), F.array().cast("array<int>"))
-        moved = F.col(axis) - F.size(F.filter(gone, lambda x, a=axis: x < F.col(a)))
+        at = F.col(axis)
+        moved = at - F.size(F.filter(gone, lambda x: x < at))  # noqa: B023  used within this round
         out = out.where(~F.array_contains(gone, F.col(axis))).withColumn(axis, moved.cast("int")).drop(f"_{axis}")
     return out.select(cells.columns)
 
