@@ -179,14 +179,15 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_
     halves = written(_half_keys(classes), "halves")
     # a class meets another in a table only if it shares a half-key on either side: only those half-keys form keys
     shared = halves.groupBy("half").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("half")
-    kept = halves.join(shared, "half")
+    # the joins are of one kind at every size: no side of them has a bound that would allow a broadcast
+    kept = halves.join(shared.hint("merge"), "half")
     sides = kept.groupBy("node").agg(F.collect_list(F.when(F.col("at") < HALF_KEYS, F.col("half"))).alias("left"), F.collect_list(F.when(F.col("at") >= HALF_KEYS, F.col("half"))).alias("right"))
     keys = written(sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select("node", F.xxhash64("l", "r").alias("key")), "keys")
     # one order of the classes chooses the centres, so that the tables of a family mostly agree on them
     centre = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"))).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo")).where("lo != hi").select("key", F.col("c.b").alias("b"))
-    pairs = keys.join(centre, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+    pairs = keys.join(centre.hint("merge"), "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     sig = classes.select("node", "sig")
-    pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    pairs = pairs.join(sig.toDF("a", "sig_a").hint("merge"), "a").join(sig.toDF("b", "sig_b").hint("merge"), "b").select("a", "b", "sig_a", "sig_b")
     clusters = components(_near_centres(pairs))
     members = clusters.join(classes.select("node", "class", "id", "n"), "node")
     blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -201,7 +202,7 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     # a class whose rows all lack an id is found among the rows without one
-    with_text = found.join(members, found["id"].eqNullSafe(members["id"])).select("node", "class", "label", "blocks", "_text")
+    with_text = found.join(members.hint("merge"), found["id"].eqNullSafe(members["id"])).select("node", "class", "label", "blocks", "_text")
     full = mapped(with_text, sets, "node long, label long, blocks int, shingles binary", "_text")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
