@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed import CURRENCIES, DATE_FORMATS, EXCEL_EPOCH, EXCEL_ERRORS, MISSING, MISSING_EXTENDED, SERIAL_LEAST, SERIAL_MOST, SPACE
@@ -39,29 +39,49 @@ def number_like(c: Column) -> Column:
     return stripped(c).rlike(NUMBER_LIKE)
 
 
-def _number(c: Column) -> Column:
-    return F.when(c.rlike(_STRICT), c.try_cast("double"))
+def number_text(c: Column) -> Column:
+    """A text without currencies and white space; (x) is -x."""
+    x = F.regexp_replace(c, f"{_CURRENCY}|{SPACE}", "")
+    return F.regexp_replace(x, r"^\((.*)\)$", "-$1")
+
+
+def plain_text(u: Column, decimal: str = ".", thousands: str = ",") -> Column:
+    """number_text with its separators given way to a decimal point."""
+    if thousands.strip():
+        u = F.replace(u, F.lit(thousands), F.lit(""))
+    return u if decimal == "." else F.replace(u, F.lit(decimal), F.lit("."))
+
+
+def mixed_text(u: Column) -> Column:
+    """number_text where each value tells its own separators: the last one is the decimal one, a comma alone separates thousands."""
+    last = F.regexp_extract(u, r"([,.])[^,.]*$", 1)
+    european = (last == ",") & (F.contains(u, F.lit(".")) | u.rlike(COMMA_DECIMAL))
+    eu = F.translate(F.replace(u, F.lit("."), F.lit("")), ",", ".")
+    return F.when(european, eu).otherwise(F.replace(u, F.lit(","), F.lit("")))
+
+
+def number_of(x: Column) -> Column:
+    """A double; null if the text is no number (a cast alone would take 12d)."""
+    return F.when(x.rlike(_STRICT), x.try_cast("double"))
 
 
 def to_number(c: Column, decimal: str = ".", thousands: str = ",") -> Column:
     """A text as a double: currencies go, (x) is -x, separators give way; null if it is no number."""
-    x = stripped(F.regexp_replace(stripped(c), _CURRENCY, ""))
-    x = F.regexp_replace(x, r"^\((.*)\)$", "-$1")
-    if thousands:
-        x = F.replace(x, F.lit(thousands), F.lit(""))
-    if decimal != ".":
-        x = F.replace(x, F.lit(decimal), F.lit("."))
-    return _number(F.regexp_replace(x, f"{SPACE}", ""))
+    return number_of(plain_text(number_text(c), decimal, thousands))
 
 
 def to_number_mixed(c: Column) -> Column:
-    """to_number where each value tells its own separators: the last one is the decimal one, a comma alone separates thousands."""
-    x = F.regexp_replace(F.regexp_replace(c, _CURRENCY, ""), SPACE, "")
-    x = F.regexp_replace(x, r"^\((.*)\)$", "-$1")
-    comma, dot = F.instr(F.reverse(x), ","), F.instr(F.reverse(x), ".")
-    european = (comma > 0) & (dot > 0) & (comma < dot) | (comma > 0) & (dot == 0) & x.rlike(COMMA_DECIMAL)
-    eu = F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return _number(F.when(european, eu).otherwise(F.replace(x, F.lit(","), F.lit(""))))
+    """to_number where each value tells its own separators."""
+    return number_of(mixed_text(number_text(c)))
+
+
+def with_numbers(df: DataFrame, columns: dict[str, str], decimal: str, thousands: str, mixed: dict[str, str]) -> DataFrame:
+    """df with to_number (columns: text to new name) and to_number_mixed (mixed), step by step, so that no step is computed twice."""
+    texts = dict.fromkeys([*columns, *mixed])
+    out = df.select("*", *[number_text(F.col(c)).alias(f"_u_{c}") for c in texts])
+    out = out.select("*", *[plain_text(F.col(f"_u_{c}"), decimal, thousands).alias(f"_p_{c}") for c in columns], *[mixed_text(F.col(f"_u_{c}")).alias(f"_m_{c}") for c in mixed])
+    out = out.select("*", *[number_of(F.col(f"_p_{c}")).alias(n) for c, n in columns.items()], *[number_of(F.col(f"_m_{c}")).alias(n) for c, n in mixed.items()])
+    return out.drop(*[f"_u_{c}" for c in texts], *[f"_p_{c}" for c in columns], *[f"_m_{c}" for c in mixed])
 
 
 def as_date(c: Column, pattern: str) -> Column:
@@ -75,9 +95,8 @@ def as_any_date(c: Column) -> Column:
 
 def serial_date(c: Column) -> Column:
     """Days since the spreadsheet epoch as a timestamp, fractions kept to the microsecond."""
-    days = F.floor(c.cast("double"))
-    seconds = F.round((c.cast("double") - days) * 86400, 6).cast("decimal(18,6)")
-    return F.to_timestamp_ntz(F.lit(EXCEL_EPOCH + " 00:00:00")) + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), seconds)
+    micros = F.round(c.cast("double") * 86_400_000_000).cast("bigint")
+    return F.to_timestamp_ntz(F.lit(EXCEL_EPOCH + " 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
 
 
 def serial_candidate(c: Column) -> Column:

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
-from ..functions.fixed import DATE_FORMATS, DATE_SAMPLE, EXCEL_ERRORS, MISSING, MISSING_EXTENDED, NUMBER_SAMPLE, SEPARATOR_SAMPLE, TYPE_SAMPLE
+from ..functions.fixed import DATE_FORMATS, DATE_SAMPLE, NUMBER_SAMPLE, SEPARATOR_SAMPLE, SERIAL_LEAST, SERIAL_MOST, TYPE_SAMPLE
 from ..functions.names import kind_of_name, suggests_date
-from .grid import text_of
 
 STEPS = ("whitespace", "numbers", "dates", "missing", "type_coercion")
-_CELL = "struct<ctype:string,s:string,n:double,b:boolean,ts:timestamp_ntz>"
 _PY_NUMBER = re.compile(r"^[+-]?[\d,.\s]+$|^\([0-9,.\s]+\)$|^[$€£¥₹][0-9,.\s]+$")
 _TEXT_HINTS, _NO_DATE_HINTS, _DATE_HINTS = ("VARCHAR", "TEXT", "STRING", "CHAR"), ("DECIMAL", "NUMERIC", "INTEGER", "FLOAT", "VARCHAR", "TEXT"), ("TIMESTAMP", "DATE")
 
@@ -60,22 +58,18 @@ class Normalizer:
         return (found or "").upper()
 
 
-def as_cell(c: Column, kind: T.DataType) -> Column:
-    """A plain column as a struct of cells."""
+def parts_of(c: Column, kind: T.DataType) -> dict[str, Column]:
+    """A column's text (s), number (n), boolean (b) and time (t), as far as its type can hold them."""
     if isinstance(kind, T.StructType):
-        return c
-    none = {"s": T.StringType(), "n": T.DoubleType(), "b": T.BooleanType(), "ts": T.TimestampNTZType()}
-    parts = {k: F.lit(None).cast(t) for k, t in none.items()}
+        error = c["ctype"].isNull() | (c["ctype"] == "e")
+        return {"s": F.when(~error, c["s"]), "n": c["n"], "b": c["b"], "t": c["ts"]}
     if isinstance(kind, T.BooleanType):
-        key, mark = "b", "b"
-    elif isinstance(kind, T.NumericType):
-        key, mark = "n", "n"
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        key, mark = "ts", "d"
-    else:
-        key, mark = "s", "s"
-    parts[key] = c.cast(none[key])
-    return F.when(c.isNotNull(), F.struct(F.lit(mark).alias("ctype"), *[v.alias(k) for k, v in parts.items()])).cast(_CELL)
+        return {"b": c}
+    if isinstance(kind, T.NumericType):
+        return {"n": c.cast("double")}
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return {"t": c.cast("timestamp_ntz")}
+    return {"s": c.cast("string")}
 
 
 def _py_separators(columns: list[list[str]]) -> tuple[str, str]:
@@ -126,75 +120,94 @@ def _py_clean(t: str, linebreaks: bool) -> str:
     return re.sub(r"[ \t\xa0]+" if linebreaks else r"[\s\xa0]+", " ", t).strip()
 
 
-def _cells(df: DataFrame, ordinal: str | None, how: Normalizer) -> tuple[DataFrame, list[str]]:
-    """df with a struct of cells for each column, texts cleaned and error texts gone."""
+@dataclass
+class Profile:
+    """The flat columns of cells (s0, n0, b0, t0, s1, ...), names, the first cells of each column, aggregates, separators."""
+
+    cells: DataFrame
+    names: list[str]
+    has: list[set[str]]
+    first: list[list[dict[str, Any]]]
+    total: dict[str, Any]
+    seps: tuple[str, str]
+
+
+def _gate(first: list[dict[str, Any]], hint: str, how: Normalizer) -> bool:
+    """Whether the first cells allow a column to become a number."""
+    if not how.on("numbers") or any(h in hint for h in _TEXT_HINTS):
+        return False
+    sample = [c["s"].strip() for c in first if c.get("s") is not None][:NUMBER_SAMPLE]
+    if any(c.get("n") is not None for c in first):
+        return True
+    return bool(sample) and sum(bool(_PY_NUMBER.match(x)) for x in sample) / len(sample) > 0.5
+
+
+def profile(df: DataFrame, ordinal: str | None, how: Normalizer) -> Profile:
+    """One read of the first rows, then one aggregate over all rows that computes what the first rows leave open."""
     names = [c for c in df.columns if c != ordinal]
-    out = []
+    has, flat = [], []
     for i, name in enumerate(names):
-        cell = as_cell(F.col(f"`{name}`"), df.schema[name].dataType)
-        out.append(cell.alias(f"c{i}"))
-    cells = df.select(*([ordinal] if ordinal else []), *out)
-    for i in range(len(names)):
-        c = F.col(f"c{i}")
-        s = c["s"]
-        if how.on("whitespace"):
-            s = V.clean_whitespace(s, how.preserve_linebreaks)
-        gone = c.isNull() | c["ctype"].isNull() | (c["ctype"] == "e") | F.coalesce(c["s"].isin(EXCEL_ERRORS), F.lit(False))
-        cells = cells.withColumn(f"c{i}", F.when(~gone, F.struct(c["ctype"].alias("ctype"), s.alias("s"), c["n"].alias("n"), c["b"].alias("b"), c["ts"].alias("ts"))))
-    return cells, names
-
-
-def profile(df: DataFrame, ordinal: str | None, how: Normalizer) -> tuple[DataFrame, list[str], list[list[Any]], Any, tuple[str, str]]:
-    """The cells of df, its column names, the first cells of each column, the aggregates of all columns and the separators."""
-    cells, names = _cells(df, ordinal, how)
+        parts = parts_of(F.col(f"`{name}`"), df.schema[name].dataType)
+        if "s" in parts:
+            if how.on("whitespace"):
+                parts["s"] = V.clean_whitespace(parts["s"], how.preserve_linebreaks)
+            parts["s"] = V.null_errors(parts["s"])
+        has.append(set(parts))
+        flat += [c.alias(f"{k}{i}") for k, c in parts.items()]
+    cells = df.select(*([ordinal] if ordinal else []), *flat)
     head = (cells.orderBy(ordinal) if ordinal else cells).limit(TYPE_SAMPLE).collect()
-    first = [[r[f"c{i}"] for r in head if r[f"c{i}"] is not None] for i in range(len(names))]
+
+    def of(rows: list[Any], i: int) -> list[dict[str, Any]]:
+        found = ({k: r[f"{k}{i}"] for k in has[i]} for r in rows)
+        return [c for c in found if any(v is not None for v in c.values())]
+
+    first = [of(head, i) for i in range(len(names))]
     if len(head) == TYPE_SAMPLE and ordinal:
         for i, seen in enumerate(first):  # a sample that the first rows don't fill goes on below them
             if len(seen) < NUMBER_SAMPLE:
-                more = cells.where(F.col(f"c{i}").isNotNull()).orderBy(ordinal).select(f"c{i}").limit(NUMBER_SAMPLE).collect()
-                first[i] = [r[0] for r in more]
-    if how.decimal is None or (how.thousands is None and how.decimal is None):
-        seps = _py_separators([[c["s"] for c in col if c["s"] is not None] for col in first])
+                some = F.coalesce(*[F.col(f"{k}{i}").cast("string") for k in sorted(has[i])]).isNotNull()
+                first[i] = of(cells.where(some).orderBy(ordinal).limit(NUMBER_SAMPLE).collect(), i)
+    if how.decimal is None:
+        seps = _py_separators([[c["s"] for c in col if c.get("s") is not None] for col in first])
     else:
         seps = (how.decimal, how.thousands if how.thousands is not None else ("." if how.decimal == "," else ","))
+    gates = [_gate(first[i], how.hint(n), how) and "s" in has[i] for i, n in enumerate(names)]
+    open_ = [i for i, g in enumerate(gates) if g]
+    wide = V.with_numbers(cells, {f"s{i}": f"p{i}" for i in open_}, *seps, {f"s{i}": f"m{i}" for i in open_}) if open_ else cells
     aggs = []
     for i in range(len(names)):
-        c = F.col(f"c{i}")
-        s, n = c["s"], c["n"]
-        token = V.null_missing(s, how.extended_missing, how.extra_missing)
-        aggs += [
-            F.count(s).alias(f"s{i}"),
-            F.count(n).alias(f"n{i}"),
-            F.count(c["b"]).alias(f"b{i}"),
-            F.count(c["ts"]).alias(f"t{i}"),
-            F.count(V.to_number(s, *seps)).alias(f"p{i}"),
-            F.count(V.to_number_mixed(s)).alias(f"m{i}"),
-            F.count_if(F.trim(s) == "").alias(f"e{i}"),
-            F.coalesce(F.bool_or(s.rlike(V.COMMA_DECIMAL)), F.lit(False)).alias(f"x{i}"),
-            F.coalesce(F.bool_or(s.rlike(V.DOT_DECIMAL)), F.lit(False)).alias(f"y{i}"),
-            F.count_if(V.serial_candidate(n)).alias(f"q{i}"),
-            F.count_if(V.serial_candidate(V.to_number(s, *seps))).alias(f"r{i}"),
-            F.count_if(n % 1 == 0).alias(f"w{i}"),
-            F.count_if(V.to_number(s, *seps) % 1 == 0).alias(f"v{i}"),
-            F.count_if(V.to_number_mixed(s) % 1 == 0).alias(f"z{i}"),
-            F.count(token if how.on("missing") else s).alias(f"k{i}"),
-        ]
-    total = (cells.agg(*aggs) if aggs else cells.agg(F.lit(0))).first()
-    return cells, names, first, total, seps
+        aggs += [F.count(f"{k}{i}").alias(f"{k}{i}") for k in sorted(has[i])]
+        if "s" in has[i]:
+            s = F.col(f"s{i}")
+            aggs.append(F.count(V.null_missing(s, how.extended_missing, how.extra_missing) if how.on("missing") else s).alias(f"k{i}"))
+        if "n" in has[i]:
+            aggs += [F.count_if(V.serial_candidate(F.col(f"n{i}"))).alias(f"q{i}"), F.count_if(F.col(f"n{i}") % 1 == 0).alias(f"w{i}")]
+        if gates[i]:
+            s, number, mixed = F.col(f"s{i}"), F.col(f"p{i}"), F.col(f"m{i}")
+            aggs += [
+                F.count(number).alias(f"p{i}"),
+                F.count(mixed).alias(f"m{i}"),
+                F.count_if(F.trim(s) == "").alias(f"e{i}"),
+                F.coalesce(F.bool_or(s.rlike(V.COMMA_DECIMAL)), F.lit(False)).alias(f"x{i}"),
+                F.coalesce(F.bool_or(s.rlike(V.DOT_DECIMAL)), F.lit(False)).alias(f"y{i}"),
+                F.count_if(V.serial_candidate(number)).alias(f"r{i}"),
+                F.count_if(number % 1 == 0).alias(f"v{i}"),
+                F.count_if(mixed % 1 == 0).alias(f"z{i}"),
+            ]
+    row = wide.agg(*aggs).first().asDict() if aggs else {}
+    total = {f"{k}{i}": row.get(f"{k}{i}", 0) for i in range(len(names)) for k in "snbtkqwpmexyrvz"}
+    return Profile(cells, names, has, first, total, seps)
 
 
 def decide(name: str, i: int, first: list[Any], a: Any, seps: tuple[str, str], how: Normalizer) -> Decision:
     """The decision for one column, by the first cells and the aggregates over all."""
     hint = how.hint(name)
-    texts = [c["s"] for c in first if c["s"] is not None]
     n_text, n_num, n_bool, n_ts = (a[f"{k}{i}"] for k in "snbt")
     number = n_num > 0 and not n_text and not n_bool and not n_ts
     d = Decision(name, "number" if number else "keep", *seps, integral=number and a[f"w{i}"] == n_num)
     may = how.on("numbers") and not any(h in hint for h in _TEXT_HINTS)
     if may and n_text and not n_bool and not n_ts:
-        sample = [t.strip() for t in texts[:NUMBER_SAMPLE]]
-        gate = bool(n_num) or (sample and sum(bool(_PY_NUMBER.match(t)) for t in sample) / len(sample) > 0.5)
+        gate = _gate(first, hint, how)
         mixed = a[f"x{i}"] and a[f"y{i}"]
         parsed = a[f"m{i}"] if mixed else a[f"p{i}"]
         if gate and parsed + a[f"e{i}"] == n_text and parsed:
@@ -209,8 +222,8 @@ def decide(name: str, i: int, first: list[Any], a: Any, seps: tuple[str, str], h
                 d.kind = "serial_date"
         elif n_text and not n_bool:
             kinds = first[:DATE_SAMPLE]
-            sample = [c["s"] for c in kinds if c["s"] is not None]
-            plain = sum(c["n"] is not None for c in kinds) > len(kinds) / 2 or sum(bool(re.match(r"^[+-]?[\d,.\s]+%?$", t)) for t in sample) > len(sample) / 2
+            sample = [c["s"] for c in kinds if c.get("s") is not None]
+            plain = sum(c.get("n") is not None for c in kinds) > len(kinds) / 2 or sum(bool(re.match(r"^[+-]?[\d,.\s]+%?$", t)) for t in sample) > len(sample) / 2
             if not plain or forced:
                 found = _py_date_format(sample)
                 if found:
@@ -232,29 +245,28 @@ def decide(name: str, i: int, first: list[Any], a: Any, seps: tuple[str, str], h
     return d
 
 
-def expression(d: Decision, c: Column, how: Normalizer) -> Column:
-    """The column that a decision makes of cells."""
-    s = c["s"]
-    if how.on("missing"):
-        s = V.null_missing(s, how.extended_missing, how.extra_missing)
-    text_number = V.to_number_mixed(c["s"]) if d.mixed_separators else V.to_number(c["s"], d.decimal, d.thousands)
-    number = F.coalesce(c["n"], text_number)
-    if d.kind == "number":
-        return number.cast("bigint") if d.integral else number
-    if d.kind == "serial_date":
-        return V.serial_date(F.when(V.serial_candidate(F.floor(number)), number))
+def expression(d: Decision, i: int, has: set[str], how: Normalizer) -> Column:
+    """The column that a decision makes of the cells' flat columns."""
+    kinds = {"s": "string", "n": "double", "b": "boolean", "t": "timestamp_ntz"}
+    raw, n, b, ts = (F.col(f"{k}{i}") if k in has else F.lit(None).cast(t) for k, t in kinds.items())
+    s = V.null_missing(raw, how.extended_missing, how.extra_missing) if how.on("missing") else raw
+    if d.kind in ("number", "serial_date"):
+        number = F.coalesce(n, F.col(f"v{i}")) if "s" in has else n
+        if d.kind == "number":
+            return number.cast("bigint") if d.integral else number
+        return F.when((number >= SERIAL_LEAST) & (number < SERIAL_MOST + 1), V.serial_date(number))
     if d.kind == "text_date":
-        return F.coalesce(c["ts"], V.as_date(s, d.date_format))
+        return F.coalesce(ts, V.as_date(s, d.date_format))
     if d.kind == "any_date":
-        return F.coalesce(c["ts"], V.as_any_date(s))
+        return F.coalesce(ts, V.as_any_date(s))
     if d.kind == "timestamp":
-        return c["ts"]
+        return ts
     if d.kind == "boolean":
-        return c["b"]
+        return b
     if d.kind == "to_text":
-        whole = (c["n"] % 1 == 0) & (F.abs(c["n"]) < 1e15)
-        n = F.when(whole, c["n"].cast("bigint").cast("string")).otherwise(V.python_float(c["n"]))
-        return F.coalesce(s, n, F.initcap(c["b"].cast("string")), c["ts"].cast("string"))
+        whole = (n % 1 == 0) & (F.abs(n) < 1e15)
+        shown = F.when(whole, n.cast("bigint").cast("string")).otherwise(V.python_float(n))
+        return F.coalesce(s, shown, F.initcap(b.cast("string")), ts.cast("string"))
     return s
 
 
@@ -263,15 +275,20 @@ def normalize(df: DataFrame, how: Normalizer | None = None, ordinal: str | None
 
     Rows and columns that hold nothing any more go. An empty table keeps its columns as texts."""
     how = how or Normalizer()
-    cells, names, first, total, seps = profile(df, ordinal, how)
-    decisions = [decide(n, i, first[i], total, seps, how) for i, n in enumerate(names)]
-    exprs = [expression(d, F.col(f"c{i}"), how) for i, d in enumerate(decisions)]
+    found = profile(df, ordinal, how)
+    names, total = found.names, found.total
+    decisions = [decide(n, i, found.first[i], total, found.seps, how) for i, n in enumerate(names)]
+    cells = found.cells
+    for mixed in (False, True):  # numbers in texts, parsed step by step
+        wanted = {f"s{i}": f"v{i}" for i, d in enumerate(decisions) if d.kind in ("number", "serial_date") and "s" in found.has[i] and d.mixed_separators == mixed}
+        if wanted:
+            cells = V.with_numbers(cells, {} if mixed else wanted, *found.seps, wanted if mixed else {})
+    exprs = [expression(d, i, found.has[i], how) for i, d in enumerate(decisions)]
     out = cells.select(*([ordinal] if ordinal else []), *[e.alias(f"c{i}") for i, e in enumerate(exprs)])
     kept = list(range(len(names)))
     if how.drop_empty and how.on("missing") and names:
-        unsure = [i for i in kept if decisions[i].kind in ("text", "to_text", "text_date", "any_date", "serial_date")]
-        empty = {i for i in kept if sum(total[f"{k}{i}"] for k in "nbt") + total[f"k{i}"] == 0}
-        check = [i for i in unsure if i not in empty and decisions[i].kind.endswith("date")]
+        empty = {i for i in kept if sum(total[f"{k}{i}"] for k in "nbtk") == 0}
+        check = [i for i in kept if i not in empty and decisions[i].kind in ("text_date", "any_date")]
         if check:  # dates that can't be read become null, so that a column may turn out empty
             counts = out.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in check]).first()
             empty |= {i for i in check if not counts[f"c{i}"]}
@@ -298,9 +315,10 @@ def contamination(kinds: dict[str, str], schema: T.StructType) -> list[dict[str,
 def analyze(df: DataFrame, ordinal: str | None = None) -> dict[str, Any]:
     """A dry run: kinds by names, contradictions, separators, and sizes."""
     how = Normalizer()
-    _, names, _, total, seps = profile(df, ordinal, how)
+    found = profile(df, ordinal, how)
+    names, seps = found.names, found.seps
     kinds = {n: k for n in names if (k := kind_of_name(n))}
     return {"type_hints": kinds, "contamination": contamination(kinds, df.schema), "decimal_separator": seps[0], "thousands_separator": seps[1], "rows": df.count(), "columns": len(names)}
 
 
-__all__ = ["Decision", "Normalizer", "analyze", "contamination", "normalize", "text_of", "MISSING", "MISSING_EXTENDED"]
+__all__ = ["Decision", "Normalizer", "analyze", "contamination", "normalize"]

@@ -380,11 +380,9 @@ def finish(wide: DataFrame, names: list[str], plan: ParsePlan) -> DataFrame:
 
 def normalize_named(wide: DataFrame, ids: dict[str, str], how: Normalizer) -> DataFrame:
     """normalize of columns c0, c1, ... that decide by their titles."""
-    titles = {t: c for c, t in ids.items()}
     plain = wide.toDF("_ord", *[f"{ids[c]}\x00{c}" for c in wide.columns[1:]])
     named = Normalizer(None if how.hints is None else {f"{ids[c]}\x00{c}": h for c, h in how.hints.items()}, how.decimal, how.thousands, how.skip, how.extended_missing, how.extra_missing, how.preserve_linebreaks, how.drop_empty)
     out, _ = normalize(plain, named, "_ord")
-    assert titles is not None
     return out.toDF("_ord", *[c.partition("\x00")[2] for c in out.columns[1:]])
 
 
