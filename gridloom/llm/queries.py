@@ -78,4 +78,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_level_bpe, op2_lm_scoring, op3_quality_rules, op4_minhash_near_dedup, op5_secret_scans, op6_token_store, op7_benchmark_decontamination, op8_toxicity, op9_quality_classifier, op10_sharding)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": sql.NEAR_DUPLICATES, "op7_benchmark_decontamination": sql.DECONTAMINATION}

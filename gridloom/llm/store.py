@@ -5,7 +5,7 @@ and stored once. A recipe lists a document's chunks, and carries the root of a M
 root for each run of recipes. Reading checks every chunk against its address, every recipe against its root, and every
 run against the manifest.
 
-Folders: chunks (a, n, data: ids as little-endian unsigned integers of 2 or 4 bytes), recipes (part, row, id, start,
+Folders: staged/kind=chunks (a, n, data: ids as little-endian unsigned integers of 2 or 4 bytes), recipes (part, row, id, start,
 n_tokens, root, refs) in ascending order of ids, manifest (part, rows, tokens, root)."""
 
 from __future__ import annotations
@@ -34,6 +34,14 @@ PIECES_AT_ONCE = 600_000
 TOKENIZER_BYTES = 64 << 20
 
 
+#: Rows as they are staged: recipes and chunks in a folder each.
+STAGED = "a binary, n int, data binary, recipe struct<id:bigint,tokens:bigint,refs:array<struct<a:binary,n:int>>,tie:binary>, kind string"
+
+
+def _staged(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(STAGED).parquet(f"{path}/staged").where(F.col("kind") == kind)
+
+
 def address(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -141,13 +149,14 @@ class Encoder:
 
 
 def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Writes the store of all rows, and returns its folder (in the shared folder, if none is given).
+    """Writes the store of all rows, and returns its folder (one in the shared folder that goes with the session, if none is given).
 
     Null and empty texts are a document of the end id alone. Recipes go by ascending id (null first), rows that repeat an id
     by a hash of their ids; rows whose ids and texts are equal are told apart by their numbers only."""
     spark = docs.sparkSession
     if len(json_text) > TOKENIZER_BYTES:
         raise ValueError(f"tokenizer file over {TOKENIZER_BYTES} bytes")
+    own = path is None
     path = path or f"{shared_dir(spark)}/gridloom-store-{uuid.uuid4().hex}"
     known = shared(spark, json_text)
 
@@ -177,14 +186,12 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
                 none = pa.nulls(m, recipe.type)
                 yield pa.record_batch({"kind": pa.array(["recipes"] * docs_here + ["chunks"] * m, pa.string()), "a": pa.array(key, pa.binary()), "n": pa.array([None] * docs_here + count[new].tolist(), pa.int32()), "data": pa.array([None] * docs_here + [data[j] for j in new], pa.binary()), "recipe": pa.concat_arrays([recipe, none])})
 
-    schema = "kind string, a binary, n int, data binary, recipe struct<id:bigint,tokens:bigint,refs:array<struct<a:binary,n:int>>,tie:binary>"
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "kind string, " + STAGED.removesuffix(", kind string"))
     # one exchange: equal addresses meet and the first stays
     first = F.row_number().over(Window.partitionBy("kind", "a").orderBy("n"))
     once = rows.withColumn("_first", first).where("_first = 1 or kind = 'recipes'").drop("_first")
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/staged")
-    staged = spark.read.schema(schema.replace("kind string, ", "") + ", kind string").parquet(f"{path}/staged")
-    recipes = staged.where("kind = 'recipes'").select("recipe.*")
+    recipes = _staged(spark, path, "recipes").select("recipe.*")
     ordered = recipes.repartitionByRange(shuffle_width(spark), "id", "tie").sortWithinPartitions("id", "tie").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     ordered.write.option("compression", "zstd").parquet(f"{path}/ordered")
     ordered = spark.read.parquet(f"{path}/ordered")
@@ -196,8 +203,8 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
     final.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     _delete(spark, f"{path}/ordered")
-    for folder in (path,):
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if own:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return path
 
@@ -241,7 +248,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     ids_crc32: crc32 of the document's ids as little-endian unsigned 32-bit integers, put together from its chunks' own.
     verified: every chunk is there, has its address and its length, and the recipe has its root. A part of recipes that
     doesn't match the manifest raises an error."""
-    chunks = spark.read.parquet(f"{path}/staged").where("kind = 'chunks'").select("a", "n", "data")
+    chunks = _staged(spark, path, "chunks").select("a", "n", "data")
     recipes = spark.read.parquet(f"{path}/recipes")
     manifest = spark.read.parquet(f"{path}/manifest")
     if _roots(recipes).select("part", "rows", "tokens", "root").exceptAll(manifest.select("part", "rows", "tokens", "root")).limit(1).count():
@@ -284,7 +291,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, ids) of each document: the ids themselves, put together from the chunks."""
-    chunks = spark.read.parquet(f"{path}/staged").where("kind = 'chunks'").select("a", "data")
+    chunks = _staged(spark, path, "chunks").select("a", "data")
     refs = spark.read.parquet(f"{path}/recipes").select("row", "id", "start", F.posexplode("refs").alias("seq", "ref")).select("row", "id", "start", "seq", "ref.a", "ref.n")
     parts = refs.join(chunks, "a").groupBy("row", "id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "data"))).alias("parts"))
 

@@ -19,15 +19,15 @@ from .common import coded, mapped, residue, shared, texts
 from .pieces import gathered
 
 #: Slots of words and of their beginnings; of trigrams; dimensions of an embedding and of a hidden state; documents that make a slot.
-SLOTS = {"word": 1 << 18, "six": 1 << 17, "four": 1 << 16}
+SLOTS = {"word": 1 << 17, "six": 1 << 16, "four": 1 << 15}
 CHAR_SLOTS, D, H, RARE = 1 << 11, 8, 8, 6
 INPUTS = (len(SLOTS) + 1) * D
 #: Words of a window, and between the beginnings of two.
 WINDOW, STRIDE = 32, 16
 #: Windows that go through the network at once.
-AT_ONCE = 8192
+AT_ONCE = 2048
 #: Labelled rows that the network is trained on at most: those whose ids hash lowest.
-TRAINING_ROWS = 6000
+TRAINING_ROWS = 4000
 MODULUS, HELD = 3, 1
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -83,10 +83,10 @@ def windows(codes: np.ndarray, starts: np.ndarray, none: int) -> tuple[np.ndarra
     count = np.maximum(1, -(-np.maximum(n - WINDOW, 0) // STRIDE) + 1)
     doc = np.repeat(np.arange(len(n)), count)
     begin = (np.arange(len(doc)) - (np.cumsum(count) - count)[doc]) * STRIDE
-    at = begin[:, None] + np.arange(WINDOW)
+    at = begin.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
     inside = at < n[doc][:, None]
-    place = np.where(inside, at + starts[:-1][doc][:, None], 0)
-    return (np.where(inside, codes[place], none) if len(codes) else np.full(at.shape, none)), doc
+    place = np.where(inside, at + starts[:-1].astype(np.int32)[doc][:, None], 0)
+    return (np.where(inside, codes[place], none) if len(codes) else np.full(at.shape, none)).astype(np.int32), doc
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -183,10 +183,12 @@ def _worst(logit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return order[np.searchsorted(doc[order], np.arange(n), side="right") - 1]
 
 
-def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.01, decay: float = 1e-4) -> Network:
-    """Trains on the worst window of each document and one other of each clean one. One class alone gives a constant."""
+def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 7, rate: float = 0.01, decay: float = 1e-4) -> Network:
+    """Trains on the worst window of each document and one other of each clean one. One class alone gives a constant.
+
+    docs is emptied once its words are known."""
     rng = np.random.default_rng(3)
-    n = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
+    n = lambda *shape, s: rng.standard_normal(shape, np.float32) * np.float32(s)
     net = Network({"char": n(CHAR_SLOTS, D, s=0.05), "va": n(8, s=0.3), "wa": n(2 * H, 8, s=0.3), "vo": n(2 * H, s=0.3), "bo": np.zeros(1, np.float32)})
     for d in "fb":
         net.p |= {"w" + d: n(INPUTS, 3 * H, s=0.25), "u" + d: n(H, 3 * H, s=0.25), "b" + d: np.zeros(3 * H, np.float32)}
@@ -196,12 +198,14 @@ def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 8, rate: float =
         return net
     distinct, codes, starts = coded([tokens(t) for t in docs])
     codes, starts = collapsed(codes, starts)
+    n_docs = len(docs)
+    docs.clear()
     own, tri, count = slots(distinct)
     # the first dimension of an embedding starts as how much more toxic documents have the slot
-    owner = np.repeat(np.arange(len(docs)), np.diff(starts))
+    owner = np.repeat(np.arange(n_docs), np.diff(starts))
     known = {}
     for k, size in SLOTS.items():
-        pair = np.unique(owner * size + own[k][codes])
+        pair = np.unique(owner * size + own[k][codes])  # a document counts once
         have = [np.bincount(pair[y[pair // size] == c] % size, minlength=size) for c in (0, 1)]
         odds = np.log((have[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((have[0] + 0.5) / ((y == 0).sum() + 1))
         known[k] = sum(have) >= RARE
@@ -215,8 +219,8 @@ def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 8, rate: float =
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()).astype(np.float32)
     for epoch in range(epochs):
         x = embedded(net, distinct)
-        chosen = _worst(_logits(net, x, ids, len(distinct)), doc, len(docs))
-        other = rng.permutation(np.flatnonzero(y[doc] == 0))[: len(docs)]
+        chosen = _worst(_logits(net, x, ids, len(distinct)), doc, n_docs)
+        other = rng.permutation(np.flatnonzero(y[doc] == 0))[: n_docs]
         batch_order = rng.permutation(np.concatenate([chosen, other]))
         for at in range(0, len(batch_order), 128):
             rows = batch_order[at : at + 128]
@@ -257,7 +261,7 @@ def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 8, rate: float =
                 net.p[k][at_slot] -= now * g / (np.sqrt(squares[k][at_slot]) + 1e-6)
     x = embedded(net, distinct)
     logit = _logits(net, x, ids, len(distinct))
-    top = logit[_worst(logit, doc, len(docs))].astype(float)
+    top = logit[_worst(logit, doc, n_docs)].astype(float)
     a, b = 1.0, 0.0
     for _ in range(500):  # the calibration: logistic regression on the worst window's logit
         q = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
@@ -272,7 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col:
     few = one.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     got = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "_y").toArrow()
     got = got.sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit_network([t.encode() for t in got.column("text").to_pylist()], got.column("_y").to_numpy().astype(np.int64))
+    y = got.column("_y").to_numpy().astype(np.int64)
+    text = got.column("text").cast(pa.binary()).to_pylist()
+    del got
+    return fit_network(text, y)
 
 
 def toxicity(docs: DataFrame, network: Network, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -149,7 +149,7 @@ def test_quality(spark, docs, rows, none):
 def test_boosted_trees_are_monotone():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
-    y = ((x[:, 0] + 0.3 * rng.normal(size=2000) > 0.5) & (x[:, 1] > 0.2)).astype(float)
+    y = ((x[:, 0] + 0.05 * rng.normal(size=2000) > 0.5) & (x[:, 1] > 0.2)).astype(float)
     trees = boosting.fit(x, y, {0: 1})
     grid = np.tile(rng.random((50, 3)), (20, 1))
     grid[:, 0] = np.repeat(np.linspace(0, 1, 20), 50)
