@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grid import CELLS
+from .biff import LegacyBook, is_legacy
 from .ooxml import Workbook
 
 SHEETS = "path string, sheet_index int, sheet string, part string"
@@ -25,10 +26,15 @@ class Layout:
     dims: DataFrame
 
 
+def open_book(data: bytes, name: str | None = None) -> Workbook | LegacyBook:
+    """A workbook by its first bytes."""
+    return LegacyBook(data, name) if is_legacy(data) else Workbook(data, name)
+
+
 def _books(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Workbook]]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            yield path, Workbook(content.as_py(), path)
+            yield path, open_book(content.as_py(), path)
 
 
 def list_sheets(files: DataFrame) -> DataFrame:
@@ -95,4 +101,4 @@ def read_layout(files: DataFrame, sheets: list[str] | None = None) -> Layout:
 
 def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     """All workbooks under a path or glob, as binaryFile rows; what else is there is left out by its first bytes."""
-    return spark.read.format("binaryFile").load(path).where(F.hex(F.substring("content", 1, 4)) == "504B0304")
+    return spark.read.format("binaryFile").load(path).where(F.hex(F.substring("content", 1, 4)).isin("504B0304", "D0CF11E0"))

@@ -21,9 +21,8 @@ from .plans.cache import StructureCache
 from .plans.config import CellValue, DataType, FormatInfo, FormatType, FormulaConfig, FormulaEvaluationMode, MergeStrategy, SheetConfig, SheetError, StructureInfo, TableInfo
 from .plans.parse_plan import GRID_FORMATS, TEXT_FORMATS, ParsePlan, compile_plan, needs_structure
 from .plans.structure import analyze_cells
-from .sources.datasource import Layout, read_cells, read_layout
+from .sources.datasource import Layout, open_book, read_cells, read_layout
 from .sources.handle import SourceHandle
-from .sources.ooxml import Workbook as Parts
 from .sources.sniff import detect_format, validate
 from .sources.text import read_text_grid
 
@@ -69,7 +68,8 @@ class GridBook:
         self._sheets: dict[str, GridSheet] = {}
         self._structures: dict[tuple, StructureInfo] = {}
         self._engine: FormulaEngine | None = None
-        self._names = [n for n, _ in Parts(self.source.read_bytes(), self.source.description).sheets] if info.format_type in GRID_FORMATS else ["Sheet1"]
+        grids = (*GRID_FORMATS, FormatType.XLS)
+        self._names = [n for n, _ in open_book(self.source.read_bytes(), self.source.description).sheets] if info.format_type in grids else ["Sheet1"]
 
     def _reject(self, info: FormatInfo) -> None:
         kind, name = info.format_type, self.source.filename_hint or ""
@@ -81,8 +81,6 @@ class GridBook:
             raise FormatError("Binary workbooks (.xlsb) aren't supported", file_path=name)
         if self.source.is_path and name.lower().endswith(_EXCEL_NAMES) and kind in TEXT_FORMATS:
             raise FormatError("The content doesn't match the extension", file_path=name, detected_format=str(kind))
-        if kind == FormatType.XLS:
-            raise FormatError("Legacy .xls workbooks need a registered reader", file_path=name)
         if kind in GRID_FORMATS:
             good, why = validate(self.source.read_bytes(), name)
             if not good:
@@ -154,6 +152,8 @@ class GridBook:
 
     def plan(self, sheet: str | None = None, config: SheetConfig | None = None) -> ParsePlan:
         config = config or self._config
+        if self.format_type == FormatType.XLS:  # legacy sheets are read as they are: no ranges, merges or hidden rows
+            config = replace(config, cell_range=None, merge_strategy=MergeStrategy.SKIP, include_hidden=True)
         found = self.get_structure(sheet, config) if needs_structure(config, self.format_type) else None
         return compile_plan(config, found, self.format_type)
 

@@ -1,6 +1,7 @@
 """Workbooks and text tables end to end."""
 
 import io
+import struct
 
 import pytest
 
@@ -95,3 +96,38 @@ def test_streamed_directory(spark, tmp_path):
     (tmp_path / "in/b.txt").write_text("no workbook")
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def legacy_book(strings, cells):
+    """A BIFF8 workbook in an OLE2 container: strings for the table, split over a CONTINUE record; (row, col, record, body)."""
+    rec = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    bof = lambda t: rec(0x809, struct.pack("<HHHHII", 0x600, t, 0, 0, 0, 0))
+    xfs = rec(0xE0, struct.pack("<HH", 0, 0)) + rec(0xE0, struct.pack("<HH", 0, 14))
+    table = struct.pack("<II", len(strings), len(strings)) + b"".join(struct.pack("<HB", len(s), 1) + s.encode("utf-16-le") for s in strings)
+    cut = 8 + 3 + 2  # after the first character of the first string
+    sst = rec(0xFC, table[:cut]) + rec(0x3C, b"\x01" + table[cut:])
+    sheet = bof(0x10) + b"".join(rec(kind, struct.pack("<HHH", r, c, x) + body) for r, c, x, kind, body in cells) + rec(0xE5, struct.pack("<HHHHH", 1, 0, 0, 3, 4)) + rec(0x0A, b"")
+    name = b"Old"
+    head = lambda at: bof(5) + xfs + rec(0x85, struct.pack("<IBBBB", at, 0, 0, len(name), 0) + name) + sst + rec(0x0A, b"")
+    stream = head(len(head(0))) + sheet
+    stream = stream.ljust(4608, b"\0")
+    n = len(stream) // 512
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, *range(3, 2 + n), 0xFFFFFFFE]
+    entry = lambda name, kind, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<II", start, size) + b"\0" * 4
+    directory = entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(stream)) + b"\0" * 256
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIIII", 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, 0) + b"\xff" * 432
+    return header[:512] + struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff") + directory + stream
+
+
+def test_legacy_workbook(spark):
+    number = lambda x: struct.pack("<d", x)
+    text = lambda i: struct.pack("<I", i)
+    cells = [(0, 0, 0, 0xFD, text(0)), (0, 1, 0, 0xFD, text(1)), (0, 2, 0, 0xFD, text(2)), (1, 0, 0, 0xFD, text(3)), (1, 1, 0, 0x203, number(1.5)), (1, 2, 1, 0x203, number(45292)), (2, 0, 0, 0xFD, text(4)), (2, 1, 0, 0x27E, struct.pack("<I", (250 << 2) | 3)), (2, 2, 1, 0x27E, struct.pack("<I", (45293 << 2) | 2))]
+    data = io.BytesIO(legacy_book(["Näme", "Value", "Day", "Alice", "Bob"], cells))
+    b = GridBook(data)
+    assert b.sheet_names == ["Old"] and str(b.format_type) == "xls"
+    df = b.to_dataframe()
+    assert df.columns == ["n_me", "value", "day"]
+    assert [(r[0], r[1], str(r[2])) for r in df.collect()] == [("Alice", 1.5, "2024-01-01 00:00:00"), ("Bob", 2.5, "2024-01-02 00:00:00")]
+    with pytest.raises(FormatError):
+        GridBook(io.BytesIO(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"x" * 30))
