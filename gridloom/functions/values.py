@@ -19,14 +19,17 @@ def stripped(c: Column) -> Column:
 
 def clean_whitespace(c: Column, preserve_linebreaks: bool = False) -> Column:
     """Runs of white space as one space, none at the ends; with preserve_linebreaks only blanks, tabs and no-break spaces are run together."""
-    return stripped(F.regexp_replace(c, r"[ \t\x{a0}]+" if preserve_linebreaks else f"{SPACE}+", " "))
+    if preserve_linebreaks:
+        return stripped(F.regexp_replace(c, r"[ \t\x{a0}]+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))  # only plain spaces are left
 
 
 def null_missing(c: Column, extended: bool = False, extra: list[str] | None = None, blank: bool = True) -> Column:
     """Null for markers of missing values and, if blank, for texts of white space alone."""
     gone = c.isin(MISSING + (MISSING_EXTENDED if extended else []) + (extra or []))
     if blank:
-        gone = gone | c.rlike(f"^{SPACE}*$")
+        may = (c < "!") | (c >= "\x7f")  # by its first character; the pattern is for the few that may be blank
+        gone = gone | (may & c.rlike(f"^{SPACE}*$"))
     return F.when(~gone, c)
 
 

@@ -118,18 +118,14 @@ def q07_sparse_and_empty_columns(spark: SparkSession, d: str) -> DataFrame:
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 
-def cents() -> Column:
-    return F.round(F.col("l_extendedprice") * 100).cast("bigint")
-
-
-def grouped(c: Column, group: str, decimal: str) -> Column:
-    """Whole cents as a text such as 1,234.56, by integer arithmetic."""
-    units = F.floor(c / 100).cast("string")
+def grouped(group: str, decimal: str) -> Column:
+    """The price of priced lines as a text such as 1,234.56, by integer arithmetic."""
+    units = F.col("_u")
     n = F.length(units)
-    low = F.when(n > 3, F.concat(F.substring(units, n - 2, F.lit(3)))).otherwise(units)
+    low = F.when(n > 3, F.substring(units, n - 2, F.lit(3))).otherwise(units)
     mid = F.when(n > 6, F.substring(units, n - 5, F.lit(3))).when(n > 3, F.substring(units, F.lit(1), n - 3))
     top = F.when(n > 6, F.substring(units, F.lit(1), n - 6))
-    return F.concat(F.concat_ws(group, top, mid, low), F.lit(decimal), F.lpad((c % 100).cast("string"), 2, "0"))
+    return F.concat(F.concat_ws(group, top, mid, low), F.lit(decimal), F.col("_f"))
 
 
 def sql_grouped(group: str, decimal: str, cents: str = _CENTS) -> str:
@@ -145,7 +141,9 @@ def by_flag(rows: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_extendedprice")
+    """lineitem with whole units and cents of the price as texts, each step computed once."""
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("_c"))
+    return rows.select("*", F.expr("_c div 100").cast("string").alias("_u"), F.lpad((F.col("_c") % 100).cast("string"), 2, "0").alias("_f"))
 
 
 def _strip(x: str, group: str, decimal: str) -> str:
@@ -154,24 +152,24 @@ def _strip(x: str, group: str, decimal: str) -> str:
 
 @query(f"SELECT l_returnflag, {_BY_FLAG} FROM (SELECT l_returnflag, {_strip(sql_grouped(',', '.'), ',', '.')} AS v FROM lineitem) GROUP BY 1")
 def q08_number_us(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("$"), grouped(cents(), ",", "."))
+    text = F.concat(F.lit("$"), grouped(",", "."))
     return by_flag(lines(spark, d).select("l_returnflag", V.to_number(text).alias("v")))
 
 
 @query(f"SELECT l_returnflag, {_BY_FLAG} FROM (SELECT l_returnflag, {_strip(sql_grouped('.', ','), '.', ',')} AS v FROM lineitem) GROUP BY 1")
 def q09_number_eu(spark: SparkSession, d: str) -> DataFrame:
-    return by_flag(lines(spark, d).select("l_returnflag", V.to_number(grouped(cents(), ".", ","), ",", ".").alias("v")))
+    return by_flag(lines(spark, d).select("l_returnflag", V.to_number(grouped(".", ","), ",", ".").alias("v")))
 
 
 @query(f"SELECT l_returnflag, {_BY_FLAG} FROM (SELECT l_returnflag, CASE WHEN l_orderkey % 2 = 0 THEN {_strip(sql_grouped(',', '.'), ',', '.')} ELSE {_strip(sql_grouped('.', ','), '.', ',')} END AS v FROM lineitem) GROUP BY 1")
 def q10_number_mixed(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("l_orderkey") % 2 == 0, grouped(cents(), ",", ".")).otherwise(grouped(cents(), ".", ","))
+    text = F.when(F.col("l_orderkey") % 2 == 0, grouped(",", ".")).otherwise(grouped(".", ","))
     return by_flag(lines(spark, d).select("l_returnflag", V.to_number_mixed(text).alias("v")))
 
 
 @query(f"SELECT l_returnflag, {_BY_FLAG} FROM (SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * {_strip(sql_grouped(',', '.'), ',', '.')} AS v FROM lineitem) GROUP BY 1")
 def q11_number_accounting(spark: SparkSession, d: str) -> DataFrame:
-    text = grouped(cents(), ",", ".")
+    text = grouped(",", ".")
     text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
     return by_flag(lines(spark, d).select("l_returnflag", V.to_number(text).alias("v")))
 
@@ -179,7 +177,7 @@ def q11_number_accounting(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT l_returnflag, {_BY_FLAG} FROM (SELECT l_returnflag, {_strip(sql_grouped(',', '.'), ',', '.')} AS v FROM lineitem) GROUP BY 1")
 def q12_number_currencies(spark: SparkSession, d: str) -> DataFrame:
     sign = F.element_at(F.array(*map(F.lit, X.CURRENCIES)), (F.col("l_orderkey") % len(X.CURRENCIES)).cast("int") + 1)
-    text = F.when(F.col("l_orderkey") % 2 == 0, F.concat(sign, F.lit(" "), grouped(cents(), ",", "."))).otherwise(F.concat(grouped(cents(), ",", "."), F.lit(" "), sign))
+    text = F.when(F.col("l_orderkey") % 2 == 0, F.concat(sign, F.lit(" "), grouped(",", "."))).otherwise(F.concat(grouped(",", "."), F.lit(" "), sign))
     return by_flag(lines(spark, d).select("l_returnflag", V.to_number(text).alias("v")))
 
 
@@ -201,7 +199,7 @@ def q13_number_gate(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) FILTER (WHERE regexp_matches(us, '[0-9],[0-9]{{2}}$')) AS us_comma_decimal, count(*) FILTER (WHERE regexp_matches(us, '[0-9][.][0-9]{{2}}$')) AS us_dot_decimal, count(*) FILTER (WHERE regexp_matches(us, '[0-9],[0-9]{{3}}')) AS us_comma_group,
 count(*) FILTER (WHERE regexp_matches(eu, '[0-9],[0-9]{{2}}$')) AS eu_comma_decimal, count(*) FILTER (WHERE regexp_matches(eu, '[0-9][.][0-9]{{2}}$')) AS eu_dot_decimal, count(*) FILTER (WHERE regexp_matches(eu, '[0-9][.][0-9]{{3}}')) AS eu_dot_group FROM x""")
 def q14_separator_votes(spark: SparkSession, d: str) -> DataFrame:
-    us, eu = grouped(cents(), ",", "."), grouped(cents(), ".", ",")
+    us, eu = grouped(",", "."), grouped(".", ",")
     votes = [("us_comma_decimal", us, V.COMMA_DECIMAL), ("us_dot_decimal", us, V.DOT_DECIMAL), ("us_comma_group", us, V.COMMA_THOUSANDS), ("eu_comma_decimal", eu, V.COMMA_DECIMAL), ("eu_dot_decimal", eu, V.DOT_DECIMAL), ("eu_dot_group", eu, V.DOT_THOUSANDS)]
     return lines(spark, d).agg(*[F.count_if(x.rlike(p)).alias(n) for n, x, p in votes])
 
@@ -488,7 +486,7 @@ def q38_footer_rows(spark: SparkSession, d: str) -> DataFrame:
 v AS (SELECT k, count(*) FILTER (WHERE regexp_matches(x, '{detect.EU_VOTES[0]}')) + count(*) FILTER (WHERE regexp_matches(x, '{detect.EU_VOTES[1]}')) AS eu, count(*) FILTER (WHERE regexp_matches(x, '{detect.US_VOTES[0]}')) + count(*) FILTER (WHERE regexp_matches(x, '{detect.US_VOTES[1]}')) AS us FROM x GROUP BY 1)
 SELECT k, eu AS n_eu, us AS n_us, CASE WHEN eu > us THEN 'de_DE' ELSE 'en_US' END AS locale, CASE WHEN eu > us OR us > 0 THEN least(0.9::DOUBLE, 0.5::DOUBLE + abs(eu - us)::DOUBLE / (eu + us)) ELSE 0.7::DOUBLE END AS confidence FROM v""")
 def q39_locale_votes(spark: SparkSession, d: str) -> DataFrame:
-    both = F.array(F.struct(F.lit("us").alias("k"), grouped(cents(), ",", ".").alias("x")), F.struct(F.lit("eu").alias("k"), grouped(cents(), ".", ",").alias("x")))
+    both = F.array(F.struct(F.lit("us").alias("k"), grouped(",", ".").alias("x")), F.struct(F.lit("eu").alias("k"), grouped(".", ",").alias("x")))
     eu, us = detect.separator_votes(F.col("x"))
     v = lines(spark, d).select(F.inline(both)).groupBy("k").agg(eu.alias("n_eu"), us.alias("n_us"))
     locale, sure = detect.locale_of(F.col("n_eu"), F.col("n_us"))
@@ -594,9 +592,9 @@ def q50_union_of_sheets(spark: SparkSession, d: str) -> DataFrame:
 def messy_lines(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as a messy text table: padded flags, currencies and group marks, dates as text, markers of missing values."""
     k = F.col("l_orderkey")
-    return t(spark, d, "lineitem").select(
+    return lines(spark, d).select(
         F.concat(F.lit("  "), "l_returnflag", F.lit(" \t")).alias("flag"),
-        F.concat(F.lit("$"), grouped(cents(), ",", ".")).alias("price"),
+        F.concat(F.lit("$"), grouped(",", ".")).alias("price"),
         F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("shipped"),
         F.when(k % 7 == 0, "N/A").when(k % 7 == 1, "").otherwise(F.col("l_linestatus")).alias("status"),
     )
