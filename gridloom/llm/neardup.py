@@ -188,7 +188,10 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_
     pairs = keys.join(centre.hint("merge"), "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     sig = classes.select("node", "sig")
     pairs = pairs.join(sig.toDF("a", "sig_a").hint("merge"), "a").join(sig.toDF("b", "sig_b").hint("merge"), "b").select("a", "b", "sig_a", "sig_b")
-    clusters = components(_near_centres(pairs))
+    # a class has a centre in each of its tables at most; all of them join the one that comes first, so that edges stay few
+    near = _near_centres(pairs).groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("top"), F.collect_set("b").alias("others"))
+    edges = near.select("top", F.explode(F.array_append("others", F.col("a"))).alias("b")).distinct().where("top != b")
+    clusters = components(edges, "top", "b")
     members = clusters.join(classes.select("node", "class", "id", "n"), "node")
     blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = written(members.join(blocks, "label").select("node", "class", "label", "id", "blocks"), "members")
