@@ -2,8 +2,9 @@
 
 m half-keys of h minhashes on either side give m * m tables of 2 * h minhashes each, out of 2 * m * h minhashes in all.
 Texts with equal shingle sets form one class first, so copies never meet in a table. In every table each class is held
-against one centre of its bucket only; the pairs whose signatures are not far apart form clusters, and inside a cluster
-all links are confirmed on the full shingle sets, block against block, where a rigorous bound from parity bitmaps
+against one centre of its bucket; the pairs whose signatures are not far apart form clusters. Classes of a bucket that are
+neither close to its centre nor in one cluster are then held against each other, and clusters of like ones are joined.
+Inside a cluster all links are confirmed on the full shingle sets, block against block, where a rigorous bound from parity bitmaps
 spares most set intersections. Only a spanning forest of links leaves a task."""
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .components import components
 HALF_KEYS, HASHES = 12, 3
 #: Share of equal minhashes from which a class and a bucket's centre belong to one cluster.
 NEAR = 0.45
+#: Share from which two classes of one bucket join their clusters: signatures at similarity 0.8 agree less with probability 1e-6.
+LIKE = 0.55
+#: Share from which a class is done with its bucket by the centre alone: what is like it at 0.8 reaches NEAR with the centre, too.
+CLOSE = 0.85
 #: Documents and shingles of one block.
 BLOCK_DOCS, BLOCK_SHINGLES = 768, 400_000
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -111,17 +116,20 @@ def _half_keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(one, "node long, at int, half long")
 
 
-def _near_centres(pairs: DataFrame) -> DataFrame:
-    """(a, b) of those pairs whose signatures agree in NEAR of the places at least."""
+def _shares(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs, whose first columns are a and b, with share: of the places, how many agree in the signatures of a and b."""
+    names = pairs.columns
+    sig = classes.select("node", "sig")
+    pairs = pairs.join(sig.toDF("a", "sig_a").hint("merge"), "a").join(sig.toDF("b", "sig_b").hint("merge"), "b").select(*names, "sig_a", "sig_b")
 
     def one(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= NEAR))
+            yield pa.record_batch({n: batch.column(n) for n in names} | {"share": pa.array((x == y).mean(1))})
 
-    return pairs.mapInArrow(one, "a long, b long")
+    return pairs.mapInArrow(one, ", ".join([*(f"{n} long" for n in names), "share double"]))
 
 
 def _confirm(threshold: int):
@@ -172,6 +180,25 @@ def _confirm(threshold: int):
     return run
 
 
+def _bridged(met: DataFrame, shares: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """clusters (node, label), joined where classes of one bucket are alike though its centre didn't bring them together.
+
+    met: (key, a, b), class a in the bucket of the centre b; shares: (a, b, share). Two classes linked at 0.8 of which
+    one is CLOSE to the centre are in its cluster both; so only the others of a bucket, in different clusters, are compared."""
+    far = shares.where(F.col("share") < CLOSE).select("a", "b")
+    left = met.join(far.hint("merge"), ["a", "b"]).select("key", F.col("a").alias("node"))
+    left = left.join(clusters.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    left = written(left, "left")
+    mixed_up = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    left = written(left.join(mixed_up.hint("merge"), "key"), "mixed")
+    one, two = left.toDF("key", "a", "x"), left.toDF("key", "b", "y")
+    pairs = one.join(two.hint("merge"), "key").where("a < b and x != y").select("a", "b", "x", "y").distinct()
+    bridges = written(_shares(pairs, classes).where(F.col("share") >= LIKE).select("x", "y").distinct(), "bridges")
+    moved = components(bridges, "x", "y")
+    every = clusters.union(moved.select("node", F.col("node").alias("label"))).distinct()
+    return every.join(moved.toDF("label", "top").hint("merge"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+
+
 def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between the nodes of classes that join all that are linked.
 
@@ -185,13 +212,12 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_
     keys = written(sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select("node", F.xxhash64("l", "r").alias("key")), "keys")
     # one order of the classes chooses the centres, so that the tables of a family mostly agree on them
     centre = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"))).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo")).where("lo != hi").select("key", F.col("c.b").alias("b"))
-    pairs = keys.join(centre.hint("merge"), "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    sig = classes.select("node", "sig")
-    pairs = pairs.join(sig.toDF("a", "sig_a").hint("merge"), "a").join(sig.toDF("b", "sig_b").hint("merge"), "b").select("a", "b", "sig_a", "sig_b")
+    met = written(keys.join(centre.hint("merge"), "key").where("node != b").select("key", F.col("node").alias("a"), "b"), "met")
+    shares = written(_shares(met.select("a", "b").distinct(), classes), "shares")
     # a class has a centre in each of its tables at most; all of them join the one that comes first, so that edges stay few
-    near = _near_centres(pairs).groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("top"), F.collect_set("b").alias("others"))
+    near = shares.where(F.col("share") >= NEAR).groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("top"), F.collect_set("b").alias("others"))
     edges = near.select("top", F.explode(F.array_append("others", F.col("a"))).alias("b")).distinct().where("top != b")
-    clusters = components(edges, "top", "b")
+    clusters = _bridged(met, shares, components(edges, "top", "b"), classes)
     members = clusters.join(classes.select("node", "class", "id", "n"), "node")
     blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = written(members.join(blocks, "label").select("node", "class", "label", "id", "blocks"), "members")
