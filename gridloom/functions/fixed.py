@@ -68,6 +68,8 @@ EXTENSIONS = {".xlsx": "xlsx", ".xlsm": "xlsm", ".xlsb": "xlsb", ".xls": "xls",
 DELIMITERS = [",", "\t", ";", "|"]
 ENCODING_FALLBACKS = ["latin-1", "windows-1252", "iso-8859-1"]
 
+#: Empty rows at the end of the scan from which a longer sheet's region isn't carried on to its last row.
+SCAN_STREAK = 10
 #: Limits: rows scanned for a region, for a header, looked ahead; footer rows and blank streak; empty rows that end a sheet.
 SCAN_ROWS, HEADER_ROWS, LOOK_AHEAD, FOOTER_ROWS, FOOTER_STREAK, EMPTY_STOP = 10_000, 16, 3, 10, 3, 100
 #: Samples: values that vote on numbers, on dates, on separators, on mixed types; rows and columns that vote on formulas and locale.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import EMPTY_STOP, EUROPEAN_FORMATS, FOOTER_ROWS, FOOTER_STREAK, FOOTERS, FORMULA_WINDOW, GRID_METADATA, HEADER_ROWS, HEADER_TOKEN, HEADER_WORDS, LOCALE_WINDOW, PIVOT_MARKS, PIVOT_ROWS, SCAN_ROWS, any_of
+from ..functions.fixed import EMPTY_STOP, EUROPEAN_FORMATS, FOOTER_ROWS, FOOTER_STREAK, FOOTERS, FORMULA_WINDOW, GRID_METADATA, HEADER_ROWS, HEADER_TOKEN, HEADER_WORDS, LOCALE_WINDOW, PIVOT_MARKS, PIVOT_ROWS, SCAN_ROWS, SCAN_STREAK, any_of
 from .grid import SHEET, text_of
 
 WORD_EDGE = "(^|[^A-Za-z0-9_])"
@@ -26,12 +26,19 @@ def row_profile(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
 
 
 def data_region(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    """(keys, start_row, end_row, start_col, end_col): the box of cells before a gap of more than EMPTY_STOP empty rows."""
-    rows = cells.where(F.col("row") <= SCAN_ROWS).groupBy(*keys, "row").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    """(keys, start_row, end_row, start_col, end_col): the box of cells before a gap of more than EMPTY_STOP empty rows.
+
+    The first SCAN_ROWS rows are scanned; if fewer than SCAN_STREAK empty rows end the scan of a longer sheet, the box goes
+    on to the sheet's last row. A sheet without cells in those rows has the box 1, 1, 1, 1."""
+    rows = cells.groupBy(*keys, "row").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
     by = Window.partitionBy(*keys).orderBy("row")
     gap = F.coalesce((F.col("row") - F.lag("row").over(by) > EMPTY_STOP + 1).cast("int"), F.lit(0))
     seen = rows.withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return seen.where("_island = 0").groupBy(*keys).agg(F.min("row").alias("start_row"), F.max("row").alias("end_row"), F.min("lo").alias("start_col"), F.max("hi").alias("end_col"))
+    inside = (F.col("_island") == 0) & (F.col("row") <= SCAN_ROWS)
+    box = seen.groupBy(*keys).agg(F.min(F.when(inside, F.col("row"))).alias("start_row"), F.max(F.when(inside, F.col("row"))).alias("end_row"), F.min(F.when(inside, F.col("lo"))).alias("start_col"), F.max(F.when(inside, F.col("hi"))).alias("end_col"), F.max("row").alias("_last"))
+    longer = (F.col("_last") > SCAN_ROWS) & (SCAN_ROWS - F.col("end_row") < SCAN_STREAK)
+    box = box.withColumn("end_row", F.when(longer, F.col("_last")).otherwise(F.col("end_row")))
+    return box.select(*keys, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("start_row", "end_row", "start_col", "end_col")])
 
 
 def blank_rows(rows: DataFrame, keys: list[str] = SHEET) -> DataFrame:
@@ -48,9 +55,11 @@ def consecutive_runs(rows: DataFrame, keys: list[str] = SHEET) -> DataFrame:
 
 
 def tables(rows: DataFrame, keys: list[str] = SHEET) -> DataFrame:
-    """(keys, table_no, start_row, end_row): runs of rows that two or more blank rows part."""
+    """(keys, table_no, start_row, end_row): runs of rows that two or more blank rows part; more than SCAN_ROWS rows are one table."""
     by = Window.partitionBy(*keys).orderBy("row")
-    new = F.coalesce((F.col("row") - F.lag("row").over(by) >= 3).cast("int"), F.lit(0))
+    every = Window.partitionBy(*keys)
+    short = F.max("row").over(every) - F.min("row").over(every) + 1 <= SCAN_ROWS
+    new = F.coalesce((short & (F.col("row") - F.lag("row").over(by) >= 3)).cast("int"), F.lit(0))
     numbered = rows.select(*keys, "row").distinct().withColumn("_new", new).withColumn("table_no", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)) + 1)
     return numbered.groupBy(*keys, "table_no").agg(F.min("row").alias("start_row"), F.max("row").alias("end_row"))
 
