@@ -16,17 +16,29 @@ ASSIGN_LEAST = 8
 
 #: Candidate strings of the entropy method; a window of so many characters slides over each.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{24,}", 20
-#: Character classes: all of a candidate is of the class's characters and it has all of the class's kinds; least bits per character of its densest window.
-CLASSES = ((r"^[0-9a-fA-F]+$", (r"[0-9]", r"[a-fA-F]"), 3.0), (r"^[A-Za-z0-9+/_=-]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.7))
-#: Candidates that are no secrets: UUIDs, placeholders, runs of one word or path, dates and versions.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|placeholder|changeme|redacted|xxxx|0123456789|abcdefgh|^[a-z]+([-_/][a-z]+)*[0-9]{0,4}$|^/|^[0-9_-]+$"
+#: Character classes, the first that fits holds: all of a candidate is of the class's characters and it has all of the class's kinds; least bits per character of its densest window.
+CLASSES = (
+    (r"^[0-9a-fA-F]+$", (r"[0-9]", r"[a-fA-F]"), 3.0),
+    (r"^[A-Za-z0-9+/_=-]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.7),
+    (r"^[A-Z0-9=]+$", (r"[0-9]", r"[A-Z]"), 3.4),
+    (r"^[a-z0-9=]+$", (r"[0-9]", r"[a-z]"), 3.4),
+    (r"^[A-Z0-9+/_=-]+$", (r"[0-9]", r"[A-Z]"), 3.8),
+    (r"^[a-z0-9+/_=-]+$", (r"[0-9]", r"[a-z]"), 3.8),
+)
+#: Candidates that are no secrets: UUIDs, runs of one word or path, dates and versions; and what consists of placeholders from end to end.
+ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]+([-_/][a-z]+)*[0-9]{0,4}$|^[0-9_-]+$"
+PLACEHOLDERS = r"(?i)example|placeholder|changeme|redacted|0123456789|abcdefghijklmnopqrstuvwxyz|abcdefgh|abcdef|your|secret|token|key|api|here|[-_/+=x]+"
+#: What a path's segment is, unless it is as long as a candidate: words and short numbers.
+_NAMED = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)?[0-9]{0,4}"
+SEGMENT, NAMED = r"[A-Za-z0-9+_=-]{24,}", rf"^{_NAMED}(?:[-_]+{_NAMED})*$"
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def _found(text: Column, pattern: str, rank: int, keep=None) -> Column:
+def _found(text: Column, pattern: str, rank: int, keep=None, within=None) -> Column:
     """Spans of all leftmost non-overlapping matches that keep accepts, in code points.
 
-    The pieces between matches and the matches themselves alternate; running lengths give the places."""
+    The pieces between matches and the matches themselves alternate; running lengths give the places. within: gives the
+    spans inside of a match instead, or null for the match itself, before keep is asked."""
     p = F.lit(pattern)
     matches = F.regexp_extract_all(text, p, F.lit(0))
     both = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda a, x: F.struct(F.length(a).alias("gap"), x.alias("x")))
@@ -36,7 +48,12 @@ def _found(text: Column, pattern: str, rank: int, keep=None) -> Column:
         end = start + F.length(y["x"])
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
         out = F.concat(state["out"], span)
-        return F.struct(end.alias("at"), (out if keep is None else F.when(keep(y["x"]), out).otherwise(state["out"])).alias("out"))
+        out = out if keep is None else F.when(keep(y["x"]), out).otherwise(state["out"])
+        if within is not None:
+            test, inner = within(y["x"])
+            moved = F.transform(inner, lambda s: F.struct((s["start"] + start).alias("start"), s["rank"].alias("rank"), (s["end"] + start).alias("end")))
+            out = F.when(test, F.concat(state["out"], moved)).otherwise(out)
+        return F.struct(end.alias("at"), out.alias("out"))
 
     none = F.array().cast(_SPAN)
     found = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
@@ -72,24 +89,30 @@ def densest(x: Column) -> Column:
 
 def _dense(x: Column) -> Column:
     """Whether a candidate is dense enough for its character class and not on the allow-list."""
-    verdict = F.lit(False)
-    for chars, needs, least in reversed(CLASSES):
+    least = F.lit(None).cast("double")
+    for chars, needs, bits in reversed(CLASSES):
         of = x.rlike(chars)
         for n in needs:
             of = of & x.rlike(n)
-        verdict = F.when(of, densest(x) >= least).otherwise(verdict)
-    return F.when(x.rlike(ALLOWED), F.lit(False)).otherwise(verdict)
+        least = F.when(of, F.lit(bits)).otherwise(least)
+    return F.when(x.rlike(ALLOWED) | least.isNull() | (F.regexp_replace(x, PLACEHOLDERS, "") == ""), F.lit(False)).otherwise(densest(x) >= least)
+
+
+def _path(x: Column) -> Column:
+    """Whether a candidate is a path: each segment is named or a candidate of its own. A key after a lone / is none."""
+    return x.contains("/") & ~x.rlike("^/[^/]*$") & F.forall(F.split(x, "/"), lambda s: (F.length(s) >= 24) | s.rlike(NAMED))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
     """docs with base_col and spans_col: arrays of (start, rank, end), sorted; rank counts KINDS, places are code points.
 
-    Base spans are what the patterns match; the entropy method adds candidates that no base span touches. A null or empty
+    Base spans are what the patterns match; the entropy method adds candidates that no base span touches, of a path those of
+    its segments. A null or empty
     text has none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = _found(text, ASSIGN, 0, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(assign, _found(text, ACCESS, 1), _found(text, HEX, 2))
-    out = docs.withColumn(base_col, F.array_sort(base)).withColumn("_more", _found(text, CANDIDATE, 3, _dense))
+    out = docs.withColumn(base_col, F.array_sort(base)).withColumn("_more", _found(text, CANDIDATE, 3, _dense, lambda x: (_path(x), _found(x, SEGMENT, 3, _dense))))
     more = F.filter("_more", lambda m: ~F.exists(base_col, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return out.withColumn(spans_col, F.when(F.size("_more") == 0, F.col(base_col)).otherwise(F.array_sort(F.concat(base_col, more)))).drop("_more")
 

@@ -40,3 +40,27 @@ def test_linked_texts_meet_beside_a_third_centre(spark, with_centre):
     classes = spark.createDataFrame(rows, "node long, class string, sig binary, id long, n long")
     found = neardup.links(docs, classes, 4, 80, "doc_id", "text").collect()
     assert {frozenset(r) for r in found} == {frozenset(nodes[:2])}
+
+
+KEY = "kJ8sd7GhPq2LmN4xVz9RtYb3Wc6Fh5Ds0QaUeXo1"
+FOUND = [  # text, and what of it is found
+    (f"at /{KEY[1:]} end", f"/{KEY[1:]}"),
+    (f"at /home/u/{KEY} end", KEY),
+    (f"see http://localhost/u/{KEY} end", KEY),
+    (f"split {KEY[:20]}/{KEY[20:]} end", f"{KEY[:20]}/{KEY[20:]}"),
+    (f"in {KEY}xxxx end", f"{KEY}xxxx"),
+    (f"in {KEY}example0123456789 end", f"{KEY}example0123456789"),
+    ("seed JBSWY3DPEHPK3PXPKRUGS4ZANFZSA5DF end", "JBSWY3DPEHPK3PXPKRUGS4ZANFZSA5DF"),
+    ("id 9x2kq7vw4m1zt8bj3rc6yh5nd0pf end", "9x2kq7vw4m1zt8bj3rc6yh5nd0pf"),
+    ("the /usr/local/share/readers/annual-report2024/notes end", None),
+    ("an example-placeholder-xxxx-xxxx-xxxx end", None),
+    ("id 550e8400-e29b-41d4-a716-446655440000 end", None),
+]
+
+
+def test_entropy_of_paths_placeholders_and_one_case(spark):
+    from gridloom.llm import secrets
+
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FOUND)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    assert [[t[s["start"] : s["end"]] for s in out[i]] for i, (t, _) in enumerate(FOUND)] == [[x] if x else [] for _, x in FOUND]
