@@ -88,10 +88,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json_text)
-        self.tokenizer.encode_special_tokens = True
+        known = json.loads(json_text)
+        self.added = [t["content"] for t in known.get("added_tokens") or []]
+        self.whole = Tokenizer.from_str(json_text)
+        # pre-tokens come from texts without an added token, and must not make one where they stand side by side
+        self.tokenizer = Tokenizer.from_str(json.dumps(known | {"added_tokens": [], "post_processor": None}))
         self.pattern = pattern
-        vocab = json.loads(json_text)["model"]["vocab"]
+        vocab = known["model"]["vocab"]
         self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.length[i] = len(token)  # a character of a byte-level token is a byte
@@ -135,7 +138,13 @@ class Encoder:
 
     def texts(self, docs: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Runs of documents: the first one's number, all ids one after another, each document with end_id, and where
-        documents begin (one more at the end)."""
+        documents begin (one more at the end). A text that holds an added token goes through the library whole."""
+        special = np.zeros(len(docs), bool)
+        for t in self.added:
+            special |= pa.compute.fill_null(pa.compute.match_substring(docs, t), False).to_numpy(zero_copy_only=False)
+        own = {int(i): np.append(self.whole.encode(docs[int(i)].as_py(), add_special_tokens=False).ids, end_id) for i in np.flatnonzero(special)}
+        if own:
+            docs = pa.compute.if_else(pa.array(special), pa.scalar("", docs.type), docs)
         pieces, codes, starts = piece_codes(docs, self.pattern)
         lengths, flat = self.distinct(pieces)
         lengths, flat = lengths.astype(np.int32), flat.astype(np.uint32)
@@ -144,7 +153,11 @@ class Encoder:
             hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + PIECES_AT_ONCE, side="right")) - 1)
             ids, count = gathered(lengths, flat, codes[starts[lo] : starts[hi]])
             at = np.append(0, np.cumsum(count))[starts[lo : hi + 1] - starts[lo]]
-            yield lo, np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            if special[lo:hi].any():
+                parts = [own.get(lo + i, ids[at[i] : at[i + 1]]) for i in range(hi - lo)]
+                ids, at = np.concatenate(parts).astype(ids.dtype), np.append(0, np.cumsum([len(x) for x in parts]))
+            yield lo, ids, at
             lo = hi
 
 
@@ -164,7 +177,7 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
         encoder = None
         for part in slices(batches, text_col, SLICE_BYTES):
             encoder = encoder or Encoder(known(), pattern)
-            wide = np.dtype(np.uint16 if len(encoder.length) <= 1 << 16 and end_id < 1 << 16 else np.uint32)
+            wide = np.dtype(np.uint16 if max(len(encoder.length), encoder.whole.get_vocab_size()) <= 1 << 16 and end_id < 1 << 16 else np.uint32)
             doc_ids = part.column(id_col).to_pylist()
             seen: set[bytes] = set()
             for lo, ids, starts in encoder.texts(part.column(text_col), end_id):

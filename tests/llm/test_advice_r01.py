@@ -42,6 +42,26 @@ def test_linked_texts_meet_beside_a_third_centre(spark, with_centre):
     assert {frozenset(r) for r in found} == {frozenset(nodes[:2])}
 
 
+def test_texts_with_an_added_token(spark):
+    import zlib
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from gridloom.llm import store
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        json_text = f.read()
+    texts = ["a b c", "a <|endoftext|> b", None, "", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endof", "text|> z"]
+    whole = Tokenizer.from_str(json_text)
+    wanted = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 50256 in wanted[1]
+    path = store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), json_text, P.PATTERN, 2)
+    assert {r["id"]: list(r["ids"]) for r in store.read_ids(spark, path).collect()} == wanted
+    got = {r["id"]: r for r in store.read_store(spark, path).collect()}
+    assert all(r["verified"] and r["ids_crc32"] == zlib.crc32(np.array(wanted[i], "<u4").tobytes()) and r["start"] == sum(len(wanted[j]) for j in range(i)) for i, r in got.items())
+
+
 KEY = "kJ8sd7GhPq2LmN4xVz9RtYb3Wc6Fh5Ds0QaUeXo1"
 FOUND = [  # text, and what of it is found
     (f"at /{KEY[1:]} end", f"/{KEY[1:]}"),
