@@ -24,26 +24,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE, SIMILARITY, WINDOW = 5, 80, 10
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, drop: str) -> DataFrame:
-    """docs without the rows whose id verdicts drops."""
-    gone = verdicts.where(drop).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go; the network learns from the labels of the whole documents table."""
     network = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity(docs, network), "predicted = 1")
+    return toxicity(docs, network, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id stays of each group of near-duplicates."""
-    return _without(docs, near_duplicates(docs, SHINGLE, SIMILARITY), "not kept")
+    """The row with the smallest id stays of each group of near-duplicates; of rows that tie on it, the first as they are numbered."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
+    gone = near_duplicates(rows, SHINGLE, SIMILARITY, row_col="_row").where("not kept").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark"), WINDOW), "n_hit > 0")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), WINDOW, keep=COLUMNS).where("n_hit = 0").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

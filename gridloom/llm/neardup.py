@@ -77,8 +77,8 @@ def _classes(got: np.ndarray, starts: np.ndarray) -> list[str | None]:
     return out
 
 
-def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, class, sig): sig holds 2 * m * h minhashes as unsigned 32-bit integers; none for an empty set."""
+def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(id, row, n_shingles, class, sig): row is that of row_col, or else the id; sig holds 2 * m * h minhashes as unsigned 32-bit integers; none for an empty set."""
     rows = 2 * HALF_KEYS * HASHES
     rng = np.random.default_rng(11)
     mult = (rng.integers(0, 1 << 63, rows, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -94,9 +94,9 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
             for r in range(rows):
                 sig[r] = np.minimum.reduceat(((got * mult[r] + add[r]) >> np.uint64(32)).astype(np.uint32), at)
         packed = iter(np.ascontiguousarray(sig.T))
-        return pa.record_batch({"id": batch.column(id_col).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(_classes(got, starts), pa.string()), "sig": pa.array([next(packed).tobytes() if s else None for s in some], pa.binary())})
+        return pa.record_batch({"id": batch.column(id_col).cast(pa.int64()), "row": batch.column(row_col or id_col).cast(pa.int64()), "n_shingles": pa.array(n, pa.int64()), "class": pa.array(_classes(got, starts), pa.string()), "sig": pa.array([next(packed).tobytes() if s else None for s in some], pa.binary())})
 
-    return mapped(docs.select(id_col, text_col), one, "id long, n_shingles long, class string, sig binary", text_col)
+    return mapped(docs.select(*dict.fromkeys([id_col, row_col or id_col, text_col])), one, "id long, row long, n_shingles long, class string, sig binary", text_col)
 
 
 def _half_keys(classes: DataFrame) -> DataFrame:
@@ -239,22 +239,27 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, threshold: int, id_
     return dealt.groupBy("label", "bi", "bj").applyInArrow(_confirm(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id, kept): one row for each row of docs.
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept): one row for each row of docs; with row_col, that column, too.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; the set of a document is its distinct shingles of so many words,
     with fewer words the whole sequence. Documents with 100 * intersection >= threshold * union are linked, component_id is
     the smallest id reachable. A null, empty or wordless text has an empty set, is linked with nothing and is kept. Rows
     that repeat an id stay rows of their own; a null id takes part, and gives way to ids that are not null. Other columns
-    of docs are not read."""
-    sketched = written(sketches(docs, shingle, id_col, text_col), "sketches")
-    of_class = sketched.where("class is not null").groupBy("class").agg(F.min_by("sig", "sig").alias("sig"), F.min("id").alias("id"), F.max("n_shingles").alias("n"))
+    of docs are not read. row_col: whole numbers, another one in each row; then a component keeps one row, that with the
+    smallest id and, among rows that tie on it, the lowest number. Without it all rows with the smallest id are kept."""
+    sketched = written(sketches(docs, shingle, id_col, text_col, row_col), "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
+    of_class = sketched.where("class is not null").groupBy("class").agg(F.min_by("sig", "sig").alias("sig"), F.min("row").alias("id"), F.max("n_shingles").alias("n"), first)
     classes = written(of_class.withColumn("node", F.monotonically_increasing_id()), "classes")
-    joined = components(links(docs, classes, shingle, threshold, id_col, text_col))
+    joined = components(links(docs, classes, shingle, threshold, row_col or id_col, text_col))
     # classes that are linked take their component's label; every other class is its own
-    named = written(classes.select("node", "class", "id").join(joined, "node", "left").select("class", "id", F.coalesce("label", "node").alias("label")), "named")
-    top = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_class = named.join(top, "label").select("class", "component_id")
+    named = written(classes.select("node", "class", "first").join(joined, "node", "left").select("class", "first", F.coalesce("label", "node").alias("label")), "named")
+    top = named.groupBy("label").agg(F.min("first").alias("first"))
+    by_class = named.select("class", "label").join(top, "label").select("class", F.col("first.id").alias("component_id"), F.col("first.row").alias("first_row"))
     out = sketched.join(by_class, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    kept = F.coalesce(F.col("id") == component, component.isNull())
+    if row_col:
+        kept = F.col("class").isNull() | (F.col("row") == F.col("first_row"))
+    return out.select(F.col("id").alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -282,8 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col:
     return fit_network(text, y)
 
 
-def toxicity(docs: DataFrame, network: Network, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, held_out, score, predicted): one row for each row; only the text is scored.
+def toxicity(docs: DataFrame, network: Network, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id_col, held_out, score, predicted), or the columns of keep, score, predicted: one row for each row; only the text is scored.
 
     score: probability of label 1 (0 to 1); a null, empty or wordless text is one empty window. held_out: crc32(id as text)
     modulo 3 is 1, so the row's label wasn't learned from. predicted: 1 from the threshold on."""
@@ -297,7 +297,12 @@ def toxicity(docs: DataFrame, network: Network, threshold: float = 0.7, id_col:
         logit = _logits(net, embedded(net, distinct), ids, len(distinct))
         top = logit[_worst(logit, doc, batch.num_rows)].astype(np.float64)
         score = 1 / (1 + np.exp(-np.clip(net.scale * top + net.shift, -30, 30)))
-        return pa.record_batch({"id": batch.column(id_col).cast(pa.int64()), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
-
-    out = mapped(docs.select(id_col, text_col), one, "id long, score double, predicted int", text_col, 4 << 20)
-    return out.select(F.col("id").alias(id_col), (residue("id", MODULUS) == HELD).alias("held_out"), "score", "predicted")
+        found = {"_score": pa.array(score), "_predicted": pa.array((score >= threshold).astype(np.int32))}
+        return pa.record_batch(({c: batch.column(c) for c in keep} if keep else {"id": batch.column(id_col).cast(pa.int64())}) | found)
+
+    if keep:
+        fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+        out = mapped(docs.select(*dict.fromkeys([*keep, text_col])), one, ", ".join([*fields, "_score double, _predicted int"]), text_col, 4 << 20)
+        return out.select(*keep, F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    out = mapped(docs.select(id_col, text_col), one, "id long, _score double, _predicted int", text_col, 4 << 20)
+    return out.select(F.col("id").alias(id_col), (residue("id", MODULUS) == HELD).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
