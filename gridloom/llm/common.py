@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,24 +26,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets one of
+    its own, and any other an error, since executors of a cluster don't see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> DataFrame:
     """df written to the shared folder and read back: later stages don't compute it again, and survive lost executors.
 
-    The folder goes when the session's JVM ends."""
+    instead_of: a written table that nothing needs any more; it goes at once, the others when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        deleted(spark, instead_of._written)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def released() -> None:
+    """Gives memory that this process has freed back to the system; a worker would keep it while others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def shared(spark: SparkSession, value: object) -> Callable[[], object]:
@@ -109,8 +132,11 @@ def mapped(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Ta
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, limit):
             out = one(part)
+            del part
             if out is not None:
                 yield from (out.to_batches() if isinstance(out, pa.Table) else [out])
+            del out
+            released()
 
     return df.mapInArrow(run, schema)
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared, shared_dir, shuffle_width, slices
-from .pieces import gathered, piece_codes
+from .common import deleted, released, shared, shared_dir, shuffle_width, slices
+from .pieces import bounds, coded_pieces, gathered
 
 #: Ids that the rolling hash sees, bits of it that are zero at a cut (so chunks have 2 ** BITS ids or so), and the most ids in a chunk.
 ROLL, BITS, MOST = 16, 8, 2048
@@ -89,48 +89,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         known = json.loads(json_text)
+        self.json_text, self.whole = json_text, None
         self.added = [t["content"] for t in known.get("added_tokens") or []]
-        self.whole = Tokenizer.from_str(json_text)
         # pre-tokens come from texts without an added token, and must not make one where they stand side by side
         self.tokenizer = Tokenizer.from_str(json.dumps(known | {"added_tokens": [], "post_processor": None}))
         self.pattern = pattern
         vocab = known["model"]["vocab"]
+        self.size = 1 + max([*vocab.values(), *(t["id"] for t in known.get("added_tokens") or [])], default=0)
         self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
-        for token, i in vocab.items():
-            self.length[i] = len(token)  # a character of a byte-level token is a byte
+        # a character of a byte-level token is a byte
+        self.length[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
 
-    def _many(self, distinct: list[bytes], rows: np.ndarray, sep: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of those pre-tokens, and the row of each id. sep: stands between them (and is no one's)."""
-        if not len(rows):
+    def _entire(self, text: str) -> list[int]:
+        """The ids of a text that holds an added token."""
+        from tokenizers import Tokenizer
+
+        self.whole = self.whole or Tokenizer.from_str(self.json_text)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _many(self, pieces: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens one after another, and the number of each id's pre-token. mark: stands behind each (and is no one's)."""
+        if not len(pieces):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        strings, names, sizes = [], [], []
-        for i in range(0, len(rows), AT_ONCE):
-            part = rows[i : i + AT_ONCE].tolist()
-            strings.append(sep.join([distinct[r] for r in part]).decode())
-            for r in part:
-                names.append(r)
-                sizes.append(len(distinct[r]))
-                if sep:
-                    names.append(-1)
-                    sizes.append(len(sep))
-            if sep:
-                names.pop()
-                sizes.pop()
-        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
+        offsets, data = bounds(pa.compute.binary_join_element_wise(pieces, "", mark) if mark else pieces)
+        edges = np.append(offsets[:-1:AT_ONCE], offsets[-1]).tolist()
+        raw = data.tobytes()
+        found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(edges, edges[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in found])
         ends = np.cumsum(self.length[ids])
-        limits = np.cumsum(sizes)
-        if not len(ids) or ends[-1] != limits[-1]:
-            raise ValueError("the tokenizer's ids don't cover the text's bytes")
-        owner = np.array(names)[np.searchsorted(limits, ends)]
-        return ids[owner >= 0], owner[owner >= 0]
-
-    def distinct(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each pre-token, and all ids one after another."""
-        texts = [p.decode() for p in pieces]
-        kind = np.fromiter((3 if t.isspace() else 1 if t[0] == " " else 2 if not t[0].isspace() else 3 for t in texts), np.int8, len(texts))
-        found = [self._many(pieces, np.flatnonzero(kind == 1), b""), self._many(pieces, np.flatnonzero(kind == 2), b"\n")]
-        for r in np.flatnonzero(kind == 3):
-            ids = np.array(self.tokenizer.encode(texts[r], add_special_tokens=False).ids, np.int64)
+        limits = np.sort(np.concatenate([offsets[1:], offsets[1:] - len(mark)])) if mark else offsets[1:]
+        last = np.searchsorted(ends, limits)
+        if not len(ids) or ends[-1] != limits[-1] or (ends[last] != limits).any():
+            raise ValueError("the tokenizer's ids don't end where the pre-tokens do")
+        owner = np.searchsorted(limits, ends)
+        if not mark:
+            return ids, owner
+        return ids[owner % 2 == 0], owner[owner % 2 == 0] // 2
+
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each pre-token, and all ids one after another.
+
+        Pre-tokens that begin with a space and go on with something else need nothing between them; those without white
+        space at their beginning are told apart by line feeds; white space is encoded on its own."""
+        offsets, data = bounds(pieces)
+        head = data[offsets[:-1]] if len(pieces) else data
+        second = np.append(data, np.uint8(32))[offsets[:-1] + 1]
+        long = np.diff(offsets) > 1
+        solid = lambda b: (b > 32) & (b < 127) | (b > 0xC2) & (b < 0xC9)  # noqa: E731 - ASCII and Latin letters, no white space
+        kinds = np.where((head == 32) & long & solid(second), 1, np.where(solid(head), 2, 0))
+        other = np.flatnonzero(kinds == 0)
+        for r, t in zip(other.tolist(), pieces.take(pa.array(other)).to_pylist()):
+            kinds[r] = 2 if not t[0].isspace() else 1 if t[0] == " " and t[1:2] and not t[1].isspace() else 3
+        found = []
+        for kind, mark in ((1, ""), (2, "\n")):
+            rows = np.flatnonzero(kinds == kind)
+            ids, owner = self._many(pieces.take(pa.array(rows)), mark)
+            found.append((ids, rows[owner]))
+        for r in np.flatnonzero(kinds == 3).tolist():
+            ids = np.array(self.tokenizer.encode(pieces[r].as_py(), add_special_tokens=False).ids, np.int64)
             found.append((ids, np.full(len(ids), r)))
         ids, owner = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(owner, kind="stable")
@@ -142,11 +158,12 @@ class Encoder:
         special = np.zeros(len(docs), bool)
         for t in self.added:
             special |= pa.compute.fill_null(pa.compute.match_substring(docs, t), False).to_numpy(zero_copy_only=False)
-        own = {int(i): np.append(self.whole.encode(docs[int(i)].as_py(), add_special_tokens=False).ids, end_id) for i in np.flatnonzero(special)}
+        own = {int(i): np.append(self._entire(docs[int(i)].as_py()), end_id) for i in np.flatnonzero(special)}
         if own:
             docs = pa.compute.if_else(pa.array(special), pa.scalar("", docs.type), docs)
-        pieces, codes, starts = piece_codes(docs, self.pattern)
+        pieces, codes, starts = coded_pieces(docs, self.pattern)
         lengths, flat = self.distinct(pieces)
+        del pieces
         lengths, flat = lengths.astype(np.int32), flat.astype(np.uint32)
         lo = 0
         while lo < len(docs):
@@ -177,7 +194,7 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
         encoder = None
         for part in slices(batches, text_col, SLICE_BYTES):
             encoder = encoder or Encoder(known(), pattern)
-            wide = np.dtype(np.uint16 if max(len(encoder.length), encoder.whole.get_vocab_size()) <= 1 << 16 and end_id < 1 << 16 else np.uint32)
+            wide = np.dtype(np.uint16 if max(encoder.size, end_id + 1) <= 1 << 16 else np.uint32)
             doc_ids = part.column(id_col).to_pylist()
             seen: set[bytes] = set()
             for lo, ids, starts in encoder.texts(part.column(text_col), end_id):
@@ -198,6 +215,8 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
                 key = [b"%d" % (zlib.crc32(r) ^ k) for k, r in enumerate(tie)] + [names[j] for j in new]
                 none = pa.nulls(m, recipe.type)
                 yield pa.record_batch({"kind": pa.array(["recipes"] * docs_here + ["chunks"] * m, pa.string()), "a": pa.array(key, pa.binary()), "n": pa.array([None] * docs_here + count[new].tolist(), pa.int32()), "data": pa.array([None] * docs_here + [data[j] for j in new], pa.binary()), "recipe": pa.concat_arrays([recipe, none])})
+                del ids, raw, data, names, tie, refs, recipe, key
+            released()
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "kind string, " + STAGED.removesuffix(", kind string"))
     # one exchange: equal addresses meet and the first stays
@@ -215,18 +234,13 @@ def write_store(docs: DataFrame, json_text: str, pattern: str, end_id: int, path
     final = inner.join(offsets, "part").select("part", "row", "id", (F.col("_before") + F.col("_offset")).alias("start"), F.col("tokens").alias("n_tokens"), F.col("tie").alias("root"), "refs")
     final.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
-    _delete(spark, f"{path}/ordered")
+    deleted(spark, f"{path}/ordered")
     if own:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def _roots(recipes: DataFrame) -> DataFrame:
     """(part, rows, tokens, root) of recipes; the root is over a running hash of the part's recipes in order."""
     leaves = recipes.select("part", "row", "n_tokens", F.sha2(F.concat_ws(":", F.hex("root"), F.col("id").cast("string"), F.col("start").cast("string"), F.col("n_tokens").cast("string")), 256).alias("leaf"))
@@ -247,12 +261,12 @@ def _shift(crc: np.ndarray, by: np.ndarray) -> np.ndarray:
 def _zero_ids(most: int) -> np.ndarray:
     """The images of single bits under so many zero ids of 4 bytes, for 0 to most ids."""
     bits = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
-    one = np.array([zlib.crc32(b"\0\0\0\0", int(b)) ^ zlib.crc32(b"\0\0\0\0", 0) for b in bits], np.uint32)
-    out = np.zeros((most + 1, 32), np.uint32)
-    out[0] = bits
-    for n in range(1, most + 1):
-        out[n] = _shift(out[n - 1], np.broadcast_to(one, (32, 32)))
-    return out
+    power = np.array([zlib.crc32(b"\0\0\0\0", int(b)) ^ zlib.crc32(b"\0\0\0\0", 0) for b in bits], np.uint32)
+    out = bits[None]
+    while len(out) <= most:  # from up to n zero ids to up to 2 n + 1
+        out = np.concatenate([out, _shift(out.ravel(), np.broadcast_to(power, (out.size, 32))).reshape(-1, 32)])
+        power = _shift(power, np.broadcast_to(power, (32, 32)))
+    return out[: most + 1]
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -279,7 +293,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     parts = refs.join(checked, "a", "left").groupBy("row", "id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc", "good", "a"))).alias("parts"))
 
     def combined(batches):
-        shifts = _zero_ids(MOST)
+        shifts = _zero_ids(0)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -287,6 +301,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             counts = pa.compute.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
             flat, first = parts.flatten(), np.cumsum(counts) - counts
             n, each = flat.field("n").to_numpy(zero_copy_only=False), pa.compute.fill_null(flat.field("crc"), 0).to_numpy(zero_copy_only=False).astype(np.uint32)
+            if len(shifts) <= n.max():  # as the store was written, whatever MOST is now
+                shifts = _zero_ids(int(n.max()))
             crc = np.zeros(len(parts), np.uint32)
             for k in range(int(counts.max())):
                 rows = np.flatnonzero(counts > k)
