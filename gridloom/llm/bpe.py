@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import released, shared
 from .lexicon import distinct_in, pack, put_together, words_of
-from .pieces import gathered, piece_codes, unzipped, zipped
+from .pieces import bounds, gathered, piece_codes, unzipped, zipped
 
 #: Bytes that a rank file may have, since it is broadcast; ids that are decoded at once.
 RANKS_BYTES, IDS_AT_ONCE = 64 << 20, 1_000_000
@@ -44,7 +44,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         back = [gathered(lengths, flat, codes) for codes in rows]
-        return pa.table({"block": table.column("block"), "codes": table.column("codes"), "ids": pa.array([zipped(a) for a, _ in back], pa.binary()), "lengths": pa.array([zipped(b.astype(np.uint32)) for _, b in back], pa.binary())})
+        released()
+        return pa.table({"block": table.column("block"), "digest": table.column("digest"), "codes": table.column("codes"), "ids": pa.array([zipped(a) for a, _ in back], pa.binary()), "lengths": pa.array([zipped(b.astype(np.uint32)) for _, b in back], pa.binary())})
 
     def build(ids: list, sizes: np.ndarray, pos: np.ndarray, rows: pa.Table) -> pa.Table:
         codes = [unzipped(x, np.uint32) for x in rows.column("codes").to_pylist()]
@@ -60,47 +61,49 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))})
 
     blocks = pack(docs, split, id_col, text_col, buckets, keep=False)
-    values = words_of(blocks).select("block", "bucket", "codes", "words").groupBy("bucket").applyInArrow(one, "block long, codes binary, ids binary, lengths binary")
+    values = words_of(blocks).select("block", "digest", "bucket", "codes", "words").groupBy("bucket").applyInArrow(one, "block long, digest binary, codes binary, ids binary, lengths binary")
     return put_together(blocks, values, build, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def joined(strings: pa.Array, batch: pa.RecordBatch, ids_col: str) -> list[bytes]:
     """For each row, the strings of its ids one after another; ids out of range (or null) stand for nothing."""
     ids = batch.column(ids_col)
-    out: list[bytes] = []
-    lo = 0
-    while lo < batch.num_rows:
-        hi, n = lo, 0
-        while hi < batch.num_rows and (hi == lo or n + len(ids[hi] if ids[hi].is_valid else ()) <= IDS_AT_ONCE):
-            n += len(ids[hi]) if ids[hi].is_valid else 0
-            hi += 1
-        part = ids.slice(lo, hi - lo)
-        counts = pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-        flat = pa.compute.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.where((flat >= 0) & (flat < len(strings) - 1), flat, len(strings) - 1)  # the last string is empty
-        got = strings.take(pa.array(flat))
-        offsets = np.frombuffer(got.buffers()[1], np.int32, len(got) + 1) if len(got) else np.zeros(1, np.int32)
-        data = got.buffers()[2].to_pybytes() if len(got) and got.buffers()[2] is not None else b""
-        ends = offsets[np.append(0, np.cumsum(counts))].tolist()
-        out += [data[a:b] for a, b in zip(ends, ends[1:])]
-        lo = hi
-    return out
+    counts = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = pa.compute.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+    flat = np.where((flat >= 0) & (flat < len(strings) - 1), flat, len(strings) - 1)  # the last string is empty
+    got = strings.take(pa.array(flat))
+    if isinstance(got, pa.ChunkedArray):
+        got = got.combine_chunks()
+    offsets, data = bounds(got)
+    data, ends = data.tobytes(), offsets[np.append(0, np.cumsum(counts))].tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encoded with out_col: the bytes that the ids stand for, joined from the token-byte table."""
+    """encoded with out_col: the bytes that the ids stand for, joined from the token-byte table.
+
+    Null ids, null lists and ids out of range stand for nothing; a column that is already named out_col is replaced."""
     tokens = [b""] * (max(ranks.values(), default=-1) + 2)
     for token, i in ranks.items():
         tokens[i] = token
     known = shared(encoded.sparkSession, tokens)
+    others = [f.name for f in encoded.schema.fields if f.name != out_col]
 
     def run(batches):
         table = pa.array(known(), pa.binary())
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array(joined(table, batch, ids_col), pa.binary())], names=[*batch.schema.names, out_col])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, {out_col} binary")
+            lo = 0
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+            while lo < batch.num_rows:  # so many ids at once, or one row
+                hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), IDS_AT_ONCE, side="right")))
+                part = batch.slice(lo, hi - lo)
+                yield pa.record_batch([*(part.column(c) for c in others), pa.array(joined(table, part, ids_col), pa.binary())], names=[*others, out_col])
+                lo = hi
+            del batch, part
+            released()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != out_col)
+    return encoded.mapInArrow(run, f"{fields}, `{out_col}` binary")
 
 
 def digests(decoded: DataFrame, id_col: str, keep_ids: bool = False) -> DataFrame:

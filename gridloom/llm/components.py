@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import deleted, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         step = written(step, "step")
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("top"))
         changed = written(step.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least(F.col("new"), F.coalesce("top", "new")).alias("label")), "labels")
+        for old in (labels, step):
+            deleted(edges.sparkSession, old._written)
         labels = changed.select("node", "label")
+        labels._written = changed._written
         if not changed.where("old != label").limit(1).count():
             return labels
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")

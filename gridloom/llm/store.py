@@ -24,7 +24,7 @@ from .common import deleted, released, shared, shared_dir, shuffle_width, slices
 from .pieces import bounds, coded_pieces, gathered
 
 #: Ids that the rolling hash sees, bits of it that are zero at a cut (so chunks have 2 ** BITS ids or so), and the most ids in a chunk.
-ROLL, BITS, MOST = 16, 8, 2048
+ROLL, BITS, MOST = 16, 10, 8192
 #: Pre-tokens that go to the tokenizer in one string.
 AT_ONCE = 256
 SLICE_BYTES = 28 << 20
