@@ -79,6 +79,14 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
