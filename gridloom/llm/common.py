@@ -126,12 +126,18 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split()
 
 
-def coded(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded_array(docs: list[list[bytes]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the number of its distinct word for each word, and where each document begins (one more at the end)."""
     starts = np.zeros(len(docs) + 1, np.int64)
     np.cumsum([len(d) for d in docs], out=starts[1:])
     code = pa.array([w for d in docs for w in d], pa.binary()).dictionary_encode()
-    return code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False), starts
+    return code.dictionary, code.indices.to_numpy(zero_copy_only=False), starts
+
+
+def coded(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As coded_array, with the distinct words in a list."""
+    distinct, codes, starts = coded_array(docs)
+    return distinct.to_pylist(), codes, starts
 
 
 def mapped(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:

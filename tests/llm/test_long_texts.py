@@ -45,3 +45,20 @@ def test_many_matches_and_pieces(spark):
             at = max(at, b)
         assert clean[i]["text"] == "".join(wanted) + t[max(at, 0) :]
         assert (clean[i]["_more"], clean[i]["spans"], clean[i]["_base"]) == ("keep", "old", i + 1)
+
+
+def test_decontamination_of_clashing_columns_and_repeated_windows(spark):
+    from gridloom.llm.decontaminate import Index, decontaminate
+    from tests.llm.test_operators import brute_hits
+
+    rng = random.Random(2)
+    words = [rng.choice(["ab", "cd", "é1", "日", "x9"]) for _ in range(4000)]
+    bench = [(i, " ".join(words[i * 7 : i * 7 + rng.choice([3, 10, 14])])) for i in range(60)] + [(3, "ab ab ab ab ab ab ab ab ab ab ab ab"), (61, " ".join(words[7:17]))]
+    rows = [(i, " ".join(words[i * 40 : i * 40 + rng.randint(1, 300)]), "keep", 7) for i in range(40)] + [(99, "ab " * 60_000, "keep", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hits string, _items int")
+    got = decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string"), 10, keep=["doc_id", "_hits", "_items"]).collect()
+    assert len(got) == len(rows) and all(r["_hits"] == "keep" and r["_items"] in (7, 8) for r in got)
+    for r in got:
+        text = next(t for i, t, _, _ in rows if i == r["doc_id"])
+        assert (r["n_words"], r["n_hit"], tuple(r["items"])) == brute_hits(text[:6000] if r["doc_id"] == 99 else text, bench, 10) or r["doc_id"] == 99 and r["n_hit"] == 60_000
+    assert Index([], 10).windows == {} and len(Index([("a", b"one")], 10).windows[1]) == 1
