@@ -79,8 +79,16 @@ def header_names(rows: list[list[str | None]], width: int) -> list[str]:
 
 
 def to_wide(cells: DataFrame, columns: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each row of the grid: keys, row, and for each column a struct of the cell (null: empty). One aggregation,
-    with partial sums before the shuffle."""
-    cell = F.struct("ctype", "s", "n", "b", "ts")
-    aggs = [F.max(F.when(F.col("col") == c, cell)).alias(f"c{i}") for i, c in enumerate(columns)]
-    return cells.groupBy(*keys, "row").agg(*aggs)
+    """A row for each row of the grid: keys, row, and for each column a struct of the cell (null: empty).
+
+    One aggregation gathers a row's cells, so the plan grows by one lookup a column. Of several cells in one place the
+    greatest stays."""
+    entry = F.struct("col", F.struct("ctype", "s", "n", "b", "ts").alias("cell"))
+
+    def last(a: Column) -> Column:
+        return F.map_from_entries(F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["col"] != x["col"], F.lit(True))))
+
+    # the map is made in the aggregation, below which no later predicate on a column moves
+    gathered = F.get(F.transform(F.array(F.array_sort(F.collect_list(entry))), last), F.lit(0))
+    rows = cells.where(F.col("col").isNotNull()).groupBy(*keys, "row").agg(gathered.alias("_cells"))
+    return rows.select(*keys, "row", *[F.expr(f"_cells[{c}] AS c{i}") for i, c in enumerate(columns)])

@@ -1,17 +1,20 @@
 """Cleaning of whole columns: profile, decide, project.
 
 A column is a struct (ctype, s, n, b, ts) of cells, or any column of a plain type. Decisions are all or nothing for a
-column and look at the first values in row order, so a profile comes first: one read of the first rows and one aggregate
-over all of them. The driver decides for each column, and the result is one lazy projection of built-in expressions."""
+column and look at the first values in row order, so a profile comes first: one read of the first rows and one aggregate over all of
+them. Both take the columns as rows, so that their plans are of one size however many columns there are. The driver
+decides for each column, and the result is one lazy projection of built-in expressions."""
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,11 +123,19 @@ def _py_clean(t: str, linebreaks: bool) -> str:
     return re.sub(r"[ \t\xa0]+" if linebreaks else r"[\s\xa0]+", " ", t).strip()
 
 
+#: Columns that share a decision and an expression, if there are more than so many.
+SHARED = 16
+_KINDS = {"s": "string", "n": "double", "b": "boolean", "t": "timestamp_ntz"}
+#: What the aggregate counts of each column: texts, numbers, booleans, times; texts that aren't missing; serial dates and whole
+#: numbers; texts that parse as numbers, with mixed separators, and blank ones; signs of either decimal separator; serial dates
+#: and whole numbers among the parsed, and among the mixed; texts that parse as dates.
+_COUNTS = "snbtkqwpmexyrvzd"
+
+
 @dataclass
 class Profile:
-    """The flat columns of cells (s0, n0, b0, t0, s1, ...), names, the first cells of each column, aggregates, separators."""
+    """Names, what each column's type can hold, the first cells of each column, counts over all cells, separators."""
 
-    cells: DataFrame
     names: list[str]
     has: list[set[str]]
     first: list[list[dict[str, Any]]]
@@ -142,61 +153,110 @@ def _gate(first: list[dict[str, Any]], hint: str, how: Normalizer) -> bool:
     return bool(sample) and sum(bool(_PY_NUMBER.match(x)) for x in sample) / len(sample) > 0.5
 
 
+def kinds_of(df: DataFrame, names: list[str]) -> list[T.DataType]:
+    found = {f.name: f.dataType for f in df.schema.fields}
+    return [found[n] for n in names]
+
+
+def numbered(df: DataFrame, names: list[str], ordinal: str | None) -> DataFrame:
+    """df with its columns named x0, x1, ... but for the ordinal."""
+    at = {n: f"x{i}" for i, n in enumerate(names)}
+    return df.toDF(*[at.get(c, c) for c in df.columns])
+
+
+def array_of(columns) -> Column:
+    """An array of numbered columns; one expression text, since a call for each column of a wide sheet takes long."""
+    return F.expr(f"array({', '.join(f'x{i}' for i in columns)})")
+
+
+def long_cells(df: DataFrame, names: list[str], how: Normalizer, ordinal: str | None) -> DataFrame:
+    """(_o, i, s, n, b, t): a row for each cell that holds something; i is its column's place in names."""
+    kinds = kinds_of(df, names)
+    keep = [F.col(f"`{ordinal}`").alias("_o")] if ordinal else [F.lit(None).cast("long").alias("_o")]
+    if all(isinstance(k, T.StructType) and k == kinds[0] for k in kinds):
+        plain = numbered(df, names, ordinal)
+        rows = plain.select(*keep, F.posexplode(array_of(range(len(names)))).alias("i", "x"))
+        parts = parts_of(F.col("x"), kinds[0])
+    else:
+        entries = [parts_of(F.col(f"`{n}`"), k) for n, k in zip(names, kinds)]
+        cells = [F.struct(*[e.get(k, F.lit(None)).cast(t).alias(k) for k, t in _KINDS.items()]) for e in entries]
+        rows = df.select(*keep, F.posexplode(F.array(*cells)).alias("i", "x"))
+        parts = {k: F.col("x")[k] for k in _KINDS}
+    rows = rows.select("_o", "i", *[parts[k].alias(k) for k in _KINDS])
+    text = V.clean_whitespace(F.col("s"), how.preserve_linebreaks) if how.on("whitespace") else F.col("s")
+    return rows.withColumn("s", V.null_errors(text)).where(F.coalesce("s", *[F.col(k).cast("string") for k in "nbt"]).isNotNull())
+
+
+def _of_column(c: Column, members: list[int]) -> Column:
+    return c.isin(members) if members else F.lit(False)
+
+
 def profile(df: DataFrame, ordinal: str | None, how: Normalizer) -> Profile:
-    """One read of the first rows, then one aggregate over all rows that computes what the first rows leave open."""
+    """One read of the first rows, then one aggregate over all rows that counts what the first rows leave open.
+
+    Without an ordinal the first rows are those that Spark reads first: give one where the rows' order can change."""
     names = [c for c in df.columns if c != ordinal]
-    has, flat = [], []
-    for i, name in enumerate(names):
-        parts = parts_of(F.col(f"`{name}`"), df.schema[name].dataType)
-        if "s" in parts:
-            if how.on("whitespace"):
-                parts["s"] = V.clean_whitespace(parts["s"], how.preserve_linebreaks)
-            parts["s"] = V.null_errors(parts["s"])
-        has.append(set(parts))
-        flat += [c.alias(f"{k}{i}") for k, c in parts.items()]
-    cells = df.select(*([ordinal] if ordinal else []), *flat)
-    head = (cells.orderBy(ordinal) if ordinal else cells).limit(TYPE_SAMPLE).collect()
-
-    def of(rows: list[Any], i: int) -> list[dict[str, Any]]:
-        found = ({k: r[f"{k}{i}"] for k in has[i]} for r in rows)
-        return [c for c in found if any(v is not None for v in c.values())]
-
-    first = [of(head, i) for i in range(len(names))]
-    if len(head) == TYPE_SAMPLE and ordinal:
-        for i, seen in enumerate(first):  # a sample that the first rows don't fill goes on below them
-            if len(seen) < NUMBER_SAMPLE:
-                some = F.coalesce(*[F.col(f"{k}{i}").cast("string") for k in sorted(has[i])]).isNotNull()
-                first[i] = of(cells.where(some).orderBy(ordinal).limit(NUMBER_SAMPLE).collect(), i)
+    kinds = kinds_of(df, names)
+    of_kind = {k: set(parts_of(F.lit(None).cast(k), k)) for k in set(kinds)}
+    has = [of_kind[k] for k in kinds]
+    head = (df.orderBy(ordinal) if ordinal else df).limit(TYPE_SAMPLE)
+    first: list[list[dict[str, Any]]] = [[] for _ in names]
+    if names:
+        rows = long_cells(head, names, how, ordinal).collect()
+        for r in sorted(rows, key=lambda r: r["_o"]) if ordinal else rows:
+            first[r["i"]].append({k: r[k] for k in has[r["i"]]})
+    short = [i for i, seen in enumerate(first) if len(seen) < NUMBER_SAMPLE]
+    if short and ordinal and head.count() == TYPE_SAMPLE:  # samples that the first rows don't fill go on below them
+        by = Window.partitionBy("i").orderBy("_o")
+        more = long_cells(df, names, how, ordinal).where(_of_column(F.col("i"), short)).withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= NUMBER_SAMPLE).collect()
+        for i in short:
+            first[i] = [{k: r[k] for k in has[i]} for r in sorted((r for r in more if r["i"] == i), key=lambda r: r["_k"])]
     if how.decimal is None:
         seps = _py_separators([[c["s"] for c in col if c.get("s") is not None] for col in first])
     else:
         seps = (how.decimal, how.thousands if how.thousands is not None else ("." if how.decimal == "," else ","))
-    gates = [_gate(first[i], how.hint(n), how) and "s" in has[i] for i, n in enumerate(names)]
-    open_ = [i for i, g in enumerate(gates) if g]
-    wide = V.with_numbers(cells, {f"s{i}": f"p{i}" for i in open_}, *seps, {f"s{i}": f"m{i}" for i in open_}) if open_ else cells
-    aggs = []
-    for i in range(len(names)):
-        aggs += [F.count(f"{k}{i}").alias(f"{k}{i}") for k in sorted(has[i])]
-        if "s" in has[i]:
-            s = F.col(f"s{i}")
-            aggs.append(F.count(V.null_missing(s, how.extended_missing, how.extra_missing) if how.on("missing") else s).alias(f"k{i}"))
-        if "n" in has[i]:
-            aggs += [F.count_if(V.serial_candidate(F.col(f"n{i}"))).alias(f"q{i}"), F.count_if(F.col(f"n{i}") % 1 == 0).alias(f"w{i}")]
-        if gates[i]:
-            s, number, mixed = F.col(f"s{i}"), F.col(f"p{i}"), F.col(f"m{i}")
-            aggs += [
-                F.count(number).alias(f"p{i}"),
-                F.count(mixed).alias(f"m{i}"),
-                F.count_if(F.trim(s) == "").alias(f"e{i}"),
-                F.coalesce(F.bool_or(s.rlike(V.COMMA_DECIMAL)), F.lit(False)).alias(f"x{i}"),
-                F.coalesce(F.bool_or(s.rlike(V.DOT_DECIMAL)), F.lit(False)).alias(f"y{i}"),
-                F.count_if(V.serial_candidate(number)).alias(f"r{i}"),
-                F.count_if(number % 1 == 0).alias(f"v{i}"),
-                F.count_if(mixed % 1 == 0).alias(f"z{i}"),
-            ]
-    row = wide.agg(*aggs).first().asDict() if aggs else {}
-    total = {f"{k}{i}": row.get(f"{k}{i}", 0) for i in range(len(names)) for k in "snbtkqwpmexyrvz"}
-    return Profile(cells, names, has, first, total, seps)
+    total = {f"{k}{i}": 0 for i in range(len(names)) for k in _COUNTS}
+    if names:
+        open_ = [i for i, n in enumerate(names) if "s" in has[i] and _gate(first[i], how.hint(n), how)]
+        for r in _counts(long_cells(df, names, how, None), open_, [_date_of(first[i], how.hint(n), how, n) for i, n in enumerate(names)], seps, how).collect():  # a row for each column
+            total |= {f"{k}{r['i']}": r[f"_{k}"] for k in _COUNTS}
+    return Profile(names, has, first, total, seps)
+
+
+def _counts(cells: DataFrame, open_: list[int], dates: list[str | None], seps: tuple[str, str], how: Normalizer) -> DataFrame:
+    """(i, a column for each of _COUNTS): one aggregate. open_: columns whose texts may be numbers; dates: by column, the
+    format of its texts, "" for any, or None."""
+    s, n = F.col("s"), F.col("n")
+    cells = cells.withColumn("g", F.when(_of_column(F.col("i"), open_), s))
+    cells = V.with_numbers(cells, {"g": "p"}, *seps, {"g": "m"})
+    left = V.null_missing(s, how.extended_missing, how.extra_missing) if how.on("missing") else s
+    parsed = [F.when(_of_column(F.col("i"), [i for i, d in enumerate(dates) if d == f]), V.as_date(left, f) if f else V.as_any_date(left)) for f in sorted({d for d in dates if d is not None})]
+    g, p, m = (F.col(c) for c in "gpm")
+    counted = {
+        "s": F.count(s), "n": F.count(n), "b": F.count("b"), "t": F.count("t"), "k": F.count(left),
+        "q": F.count_if(V.serial_candidate(n)), "w": F.count_if(n % 1 == 0), "p": F.count(p), "m": F.count(m),
+        "e": F.count_if(F.trim(g) == ""),
+        "x": F.coalesce(F.bool_or(g.rlike(V.COMMA_DECIMAL)), F.lit(False)), "y": F.coalesce(F.bool_or(g.rlike(V.DOT_DECIMAL)), F.lit(False)),
+        "r": F.count_if(V.serial_candidate(p)), "v": F.count_if(p % 1 == 0), "z": F.count_if(m % 1 == 0),
+        "d": F.count(F.coalesce(*parsed)) if parsed else F.lit(0),
+    }
+    return cells.groupBy("i").agg(*[c.alias(f"_{k}") for k, c in counted.items()])
+
+
+def _date_of(first: list[dict[str, Any]], hint: str, how: Normalizer, name: str) -> str | None:
+    """The format of the dates among the first texts, "" for any, None if they are no dates (numbers are decided elsewhere)."""
+    if not how.on("dates") or any(h in hint for h in _NO_DATE_HINTS):
+        return None
+    forced = any(h in hint for h in _DATE_HINTS)
+    kinds = first[:DATE_SAMPLE]
+    sample = [c["s"] for c in kinds if c.get("s") is not None]
+    plain = sum(c.get("n") is not None for c in kinds) > len(kinds) / 2 or sum(bool(re.match(r"^[+-]?[\d,.\s]+%?$", t)) for t in sample) > len(sample) / 2
+    if plain and not forced:
+        return None
+    found = _py_date_format(sample)
+    if found:
+        return found
+    return "" if (suggests_date(name) or forced) and sample and sum(map(_py_any_date, sample)) / len(sample) > 0.5 else None
 
 
 def decide(name: str, i: int, first: list[Any], a: Any, seps: tuple[str, str], how: Normalizer) -> Decision:
@@ -221,15 +281,9 @@ def decide(name: str, i: int, first: list[Any], a: Any, seps: tuple[str, str], h
             if serial and (forced or suggests_date(name)):
                 d.kind = "serial_date"
         elif n_text and not n_bool:
-            kinds = first[:DATE_SAMPLE]
-            sample = [c["s"] for c in kinds if c.get("s") is not None]
-            plain = sum(c.get("n") is not None for c in kinds) > len(kinds) / 2 or sum(bool(re.match(r"^[+-]?[\d,.\s]+%?$", t)) for t in sample) > len(sample) / 2
-            if not plain or forced:
-                found = _py_date_format(sample)
-                if found:
-                    d = Decision(name, "text_date", *seps, date_format=found)
-                elif (suggests_date(name) or forced) and sample and sum(map(_py_any_date, sample)) / len(sample) > 0.5:
-                    d = Decision(name, "any_date", *seps)
+            found = _date_of(first, hint, how, name)
+            if found is not None:
+                d = Decision(name, "text_date" if found else "any_date", *seps, date_format=found or None)
     if d.kind == "keep":
         left = a[f"k{i}"] if n_text else 0
         present = [k for k, n in (("text", left), ("number", n_num), ("boolean", n_bool), ("timestamp", n_ts)) if n]
@@ -245,13 +299,12 @@ def decide(name: str, i: int, first: list[Any], a: Any, seps: tuple[str, str], h
     return d
 
 
-def expression(d: Decision, i: int, has: set[str], how: Normalizer) -> Column:
-    """The column that a decision makes of the cells' flat columns."""
-    kinds = {"s": "string", "n": "double", "b": "boolean", "t": "timestamp_ntz"}
-    raw, n, b, ts = (F.col(f"{k}{i}") if k in has else F.lit(None).cast(t) for k, t in kinds.items())
+def expression(d: Decision, parts: dict[str, Column], parsed: Column | None, how: Normalizer) -> Column:
+    """The column that a decision makes of the parts of its cells. parsed: the texts as numbers."""
+    raw, n, b, ts = (parts[k] if k in parts else F.lit(None).cast(t) for k, t in _KINDS.items())
     s = V.null_missing(raw, how.extended_missing, how.extra_missing) if how.on("missing") else raw
     if d.kind in ("number", "serial_date"):
-        number = F.coalesce(n, F.col(f"v{i}")) if "s" in has else n
+        number = n if parsed is None else F.coalesce(n, parsed)
         if d.kind == "number":
             return number.cast("bigint") if d.integral else number
         return F.when((number >= SERIAL_LEAST) & (number < SERIAL_MOST + 1), V.serial_date(number))
@@ -270,6 +323,67 @@ def expression(d: Decision, i: int, has: set[str], how: Normalizer) -> Column:
     return s
 
 
+def _parsed(d: Decision, held: set[str]) -> bool:
+    return d.kind in ("number", "serial_date") and "s" in held
+
+
+def project(df: DataFrame, names: list[str], decisions: list[Decision], held: list[set[str]], seps: tuple[str, str], how: Normalizer, ordinal: str | None, drop_empty: bool) -> DataFrame:
+    """df's columns as decided, named c0, c1, ...; held: the kinds of cells of each column that its decision uses. drop_empty:
+    without the rows that hold nothing.
+
+    Columns of cells that many share a decision go through one expression over an array of them, so that a wide sheet's
+    plan stays small; the others have an expression each, in whole-stage code."""
+
+    def parts(c: Column, i: int, kind: T.DataType) -> dict[str, Column]:
+        found = {k: x for k, x in parts_of(c, kind).items() if k in held[i]}
+        if "s" in found:
+            found["s"] = V.null_errors(V.clean_whitespace(found["s"], how.preserve_linebreaks) if how.on("whitespace") else found["s"])
+        return found
+
+    def like(i: int):
+        """The expression of cells of column i."""
+
+        def one(c: Column) -> Column:
+            of, d, parsed = parts(c, i, kinds[names[i]]), decisions[i], None
+            if _parsed(d, held[i]):
+                parsed = V.to_number_mixed(of["s"]) if d.mixed_separators else V.to_number(of["s"], *seps)
+            return expression(d, of, parsed, how)
+
+        return one
+
+    keep = [ordinal] if ordinal else []
+    kinds = dict(zip(names, kinds_of(df, names)))
+    groups: dict[tuple, list[int]] = {}
+    for i, d in enumerate(decisions):
+        if isinstance(kinds[names[i]], T.StructType):
+            groups.setdefault((d.kind, d.decimal, d.thousands, d.mixed_separators, d.date_format, d.integral, tuple(sorted(held[i]))), []).append(i)
+    shared = {k: g for k, g in enumerate(g for g in groups.values() if len(g) > SHARED)}
+    place = {i: (k, j) for k, g in shared.items() for j, i in enumerate(g)}
+    plain = numbered(df, names, ordinal)
+    arrays = [F.transform(array_of(g), like(g[0])).alias(f"_g{k}") for k, g in shared.items()]
+    alone = [i for i in range(len(names)) if i not in place]
+    flat = [c.alias(f"{k}{i}") for i in alone for k, c in sorted(parts(F.col(f"x{i}"), i, kinds[names[i]]).items())]
+    cells = plain.select(*keep, *flat, *arrays)
+    for mixed in (False, True):  # numbers in texts, parsed step by step
+        wanted = {f"s{i}": f"v{i}" for i in alone if _parsed(decisions[i], held[i]) and decisions[i].mixed_separators == mixed}
+        if wanted:
+            cells = V.with_numbers(cells, {} if mixed else wanted, *seps, wanted if mixed else {})
+
+    def column(i: int) -> Column:
+        if i in place:
+            return F.expr(f"_g{place[i][0]}[{place[i][1]}]")
+        d = decisions[i]
+        return expression(d, {k: F.col(f"{k}{i}") for k in held[i]}, F.col(f"v{i}") if _parsed(d, held[i]) else None, how)
+
+    if drop_empty:  # asked of whole arrays, so that the predicate names each of them once
+        some = [F.exists(f"_g{k}", lambda x: x.isNotNull()) for k in shared]
+        if shared:
+            alone_ = [column(i).isNotNull() for i in alone]
+            cells = cells.where(functools.reduce(operator.or_, [*some, *alone_]))
+    out = cells.select(*keep, *[column(i).alias(f"c{i}") for i in range(len(names))])
+    return out if shared or not drop_empty else out.dropna(how="all", subset=[f"c{i}" for i in range(len(names))])
+
+
 def normalize(df: DataFrame, how: Normalizer | None = None, ordinal: str | None = None) -> tuple[DataFrame, list[Decision]]:
     """df with clean, typed columns, and the decisions; ordinal (row order) stays as the first column if it is given.
 
@@ -278,24 +392,17 @@ def normalize(df: DataFrame, how: Normalizer | None = None, ordinal: str | None
     found = profile(df, ordinal, how)
     names, total = found.names, found.total
     decisions = [decide(n, i, found.first[i], total, found.seps, how) for i, n in enumerate(names)]
-    cells = found.cells
-    for mixed in (False, True):  # numbers in texts, parsed step by step
-        wanted = {f"s{i}": f"v{i}" for i, d in enumerate(decisions) if d.kind in ("number", "serial_date") and "s" in found.has[i] and d.mixed_separators == mixed}
-        if wanted:
-            cells = V.with_numbers(cells, {} if mixed else wanted, *found.seps, wanted if mixed else {})
-    exprs = [expression(d, i, found.has[i], how) for i, d in enumerate(decisions)]
-    out = cells.select(*([ordinal] if ordinal else []), *[e.alias(f"c{i}") for i, e in enumerate(exprs)])
+    uses = {"number": "sn", "serial_date": "sn", "text_date": "st", "any_date": "st", "timestamp": "t", "boolean": "b", "to_text": "snbt"}
+    held = [{k for k in found.has[i] if total[f"{k}{i}"] and k in uses.get(d.kind, "s")} for i, d in enumerate(decisions)]
     kept = list(range(len(names)))
-    if how.drop_empty and how.on("missing") and names:
+    drop = how.drop_empty and how.on("missing") and bool(names)
+    if drop:
         empty = {i for i in kept if sum(total[f"{k}{i}"] for k in "nbtk") == 0}
-        check = [i for i in kept if i not in empty and decisions[i].kind in ("text_date", "any_date")]
-        if check:  # dates that can't be read become null, so that a column may turn out empty
-            counts = out.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in check]).first()
-            empty |= {i for i in check if not counts[f"c{i}"]}
+        # dates that can't be read become null, so that a column may turn out empty
+        empty |= {i for i in kept if decisions[i].kind in ("text_date", "any_date") and not total[f"d{i}"] and not total[f"t{i}"]}
         if len(empty) < len(kept) or any(total[f"{k}{i}"] for i in kept for k in "snbt"):
             kept = [i for i in kept if i not in empty]
-        if kept:
-            out = out.dropna(how="all", subset=[f"c{i}" for i in kept])
+    out = project(df, names, decisions, held, found.seps, how, ordinal, drop and bool(kept))
     out = out.select(*([ordinal] if ordinal else []), *[F.col(f"c{i}").alias(names[i]) for i in kept])
     return out, [decisions[i] for i in kept]
 
