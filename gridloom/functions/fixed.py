@@ -4,12 +4,17 @@
 
 #: Column names that need quoting in a common warehouse dialect.
 RESERVED_WORDS = frozenset(
-    """all and any array as asc assert_rows_modified at between by case cast collate contains create cross cube current
-    default define desc distinct else end enum escape except exclude exists extract false fetch following for from full
-    group grouping groups hash having if ignore in inner intersect interval into is join lateral left like limit lookup
-    merge natural new no not null nulls of on or order outer over partition preceding proto qualify range recursive respect
-    right rollup rows select set some struct tablesample then to treat true unbounded union unnest using when where window
-    with within""".split()
+    [
+        "all", "and", "any", "array", "as", "asc", "assert_rows_modified", "at", "between", "by", "case", "cast",
+        "collate", "contains", "create", "cross", "cube", "current", "default", "define", "desc", "distinct", "else",
+        "end", "enum", "escape", "except", "exclude", "exists", "extract", "false", "fetch", "following", "for", "from",
+        "full", "group", "grouping", "groups", "hash", "having", "if", "ignore", "in", "inner", "intersect", "interval",
+        "into", "is", "join", "lateral", "left", "like", "limit", "lookup", "merge", "natural", "new", "no", "not",
+        "null", "nulls", "of", "on", "or", "order", "outer", "over", "partition", "preceding", "proto", "qualify",
+        "range", "recursive", "respect", "right", "rollup", "rows", "select", "set", "some", "struct", "tablesample",
+        "then", "to", "treat", "true", "unbounded", "union", "unnest", "using", "when", "where", "window", "with",
+        "within",
+    ]
 )
 
 MISSING = ["NA", "N/A", "n/a", "#N/A", "null", "NULL", "None", "NONE", "nan", "NaN", "NAN", "<NA>", "#NA", "missing", "MISSING", "nil", "NIL"]
@@ -58,8 +63,12 @@ HEADER_TOKEN = r"^(?:[a-z]|\d+[a-z])[a-z0-9_]*$"
 PIVOT_MARKS = ["Row Labels", "Column Labels", "Grand Total", "Count of", "Sum of", "Average of"]
 
 #: Locales by decimal and thousands separator; all others write 1,234.56.
-LOCALES_DOT = "de nl it es pt el tr id".split()
-LOCALES_SPACE = "fr sv nb nn fi pl cs sk hu ro bg hr sl sr da ru uk".split()
+LOCALES_DOT = [
+    "de", "nl", "it", "es", "pt", "el", "tr", "id",
+]
+LOCALES_SPACE = [
+    "fr", "sv", "nb", "nn", "fi", "pl", "cs", "sk", "hu", "ro", "bg", "hr", "sl", "sr", "da", "ru", "uk",
+]
 EUROPEAN_FORMATS = [r"#\.##0,", r"0,00", r"\[\$€"]
 
 #: Magic numbers, and formats by extension.

@@ -34,22 +34,65 @@ def _session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
+class Handler:
+    """A reader of a format beyond the built-in ones. The grid of parse has row (from 1) and c0, c1, ..., as many as it says."""
+
+    def can_handle(self, kind: FormatType) -> bool:
+        raise NotImplementedError
+
+    def parse(self, spark: SparkSession, source: SourceHandle, sheet: str) -> tuple[DataFrame, int]:
+        raise NotImplementedError
+
+    def get_sheet_names(self, source: SourceHandle) -> list[str]:
+        return ["Sheet1"]
+
+    def validate(self, source: SourceHandle) -> tuple[bool, str | None]:
+        return True, None
+
+
+class _Pair(Handler):
+    def __init__(self, can_handle: Callable[[FormatType], bool], parse: Callable[[SparkSession, SourceHandle, str], tuple[DataFrame, int]]):
+        self.can_handle, self.parse = can_handle, parse
+
+
 class Registry:
-    """Readers for formats beyond the built-in ones: a reader takes (spark, handle, sheet) and gives (grid, columns) where the
-    grid has row (from 1) and c0, c1, ...; the first that can handle the format reads it."""
+    """Handlers in order, and a detector of formats (an object with detect(handle)). Of the handlers for a format the first
+    reads it; where one fails, the next is asked, and the last one's error holds."""
 
-    def __init__(self) -> None:
-        self.readers: list[tuple[Callable[[FormatType], bool], Callable[[SparkSession, SourceHandle, str], tuple[DataFrame, int]]]] = []
+    def __init__(self, handlers: list[Handler] | None = None, detector: Any = None) -> None:
+        self.handlers, self.detector = list(handlers or []), detector
 
-    def register_handler(self, can_handle: Callable[[FormatType], bool], read: Callable[[SparkSession, SourceHandle, str], tuple[DataFrame, int]], priority: int = -1) -> None:
-        at = len(self.readers) if priority < 0 else priority
-        self.readers.insert(at, (can_handle, read))
+    def register_handler(self, handler: Handler | Callable[[FormatType], bool], parse: Callable | None = None, priority: int = -1) -> None:
+        """handler, or the two functions can_handle and parse; priority: its place in the order, or behind all others."""
+        added = handler if parse is None else _Pair(handler, parse)
+        self.handlers.insert(len(self.handlers) if priority < 0 else priority, added)
 
     def detect_format(self, handle: SourceHandle) -> FormatInfo:
-        return detect_format(handle.read_bytes(), handle.filename_hint)
+        return self.detector.detect(handle) if self.detector else detect_format(handle.read_bytes(), handle.filename_hint)
+
+    def handlers_of(self, kind: FormatType) -> list[Handler]:
+        return [h for h in self.handlers if h.can_handle(kind)]
 
-    def reader(self, kind: FormatType):
-        return next((read for can, read in self.readers if can(kind)), None)
+    def _first(self, kind: FormatType, ask: Callable[[Handler], Any]) -> Any:
+        failed: Exception | None = None
+        for h in self.handlers_of(kind):
+            try:
+                return ask(h)
+            except Exception as e:  # noqa: BLE001  the next handler may do better
+                failed = e
+        raise failed or FormatError("No handler for the format", detected_format=str(kind))
+
+    def read(self, kind: FormatType, spark: SparkSession, source: SourceHandle, sheet: str) -> tuple[DataFrame, int]:
+        def ask(h: Handler) -> tuple[DataFrame, int]:
+            good, why = h.validate(source)
+            if not good:
+                raise FormatError(why or "Not readable", file_path=source.description)
+            return h.parse(spark, source, sheet)
+
+        return self._first(kind, ask)
+
+    def sheet_names(self, kind: FormatType, source: SourceHandle) -> list[str]:
+        return list(self._first(kind, lambda h: h.get_sheet_names(source)))
 
 
 class GridBook:
@@ -69,11 +112,14 @@ class GridBook:
         self._structures: dict[tuple, StructureInfo] = {}
         self._engine: FormulaEngine | None = None
         grids = (*GRID_FORMATS, FormatType.XLS)
-        self._names = [n for n, _ in open_book(self.source.read_bytes(), self.source.description).sheets] if info.format_type in grids else ["Sheet1"]
+        if self.registry.handlers_of(info.format_type):
+            self._names = self.registry.sheet_names(info.format_type, self.source)
+        else:
+            self._names = [n for n, _ in open_book(self.source.read_bytes(), self.source.description).sheets] if info.format_type in grids else ["Sheet1"]
 
     def _reject(self, info: FormatInfo) -> None:
         kind, name = info.format_type, self.source.filename_hint or ""
-        if self.registry.reader(kind):
+        if self.registry.handlers_of(kind):
             return
         if kind == FormatType.UNKNOWN:
             raise FormatError("Unknown file format", file_path=name)
@@ -176,9 +222,8 @@ class GridBook:
 
     def _raw(self, sheet: str, plan: ParsePlan) -> tuple[DataFrame, list[str]]:
         """(wide rows below the header, column names): _ord and a struct of the cell for each column."""
-        read = self.registry.reader(self.format_type)
-        if read:
-            wide, width = read(self.spark, self.source, sheet)
+        if self.registry.handlers_of(self.format_type):
+            wide, width = self.registry.read(self.format_type, self.spark, self.source, sheet)
             skip = plan.skip_rows
         elif self.format_type in TEXT_FORMATS:
             wide, skip, width = read_text_grid(self.spark, self.source.read_bytes(), None, None, plan.text_header_scan, plan.skip_rows)
@@ -398,4 +443,4 @@ def analyze_structure(path: Any, sheet: str | None = None, **config: Any) -> Str
     return GridBook(path).get_structure(sheet, SheetConfig(**config))
 
 
-__all__ = ["GridBook", "GridSheet", "GridTable", "Registry", "analyze_structure", "coords_to_cell_ref", "read_excel", "read_excel_tables"]
+__all__ = ["GridBook", "GridSheet", "GridTable", "Handler", "Registry", "analyze_structure", "coords_to_cell_ref", "read_excel", "read_excel_tables"]

@@ -131,3 +131,58 @@ def test_legacy_workbook(spark):
     assert [(r[0], r[1], str(r[2])) for r in df.collect()] == [("Alice", 1.5, "2024-01-01 00:00:00"), ("Bob", 2.5, "2024-01-02 00:00:00")]
     with pytest.raises(FormatError):
         GridBook(io.BytesIO(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"x" * 30))
+
+
+def test_handlers_fall_back_and_tell_their_sheets(spark):
+    from gridloom.plans.config import FormatInfo, FormatType
+    from gridloom.workbook import Handler, Registry
+
+    class Broken(Handler):
+        def can_handle(self, kind):
+            return kind == FormatType.UNKNOWN
+
+        def get_sheet_names(self, source):
+            raise ValueError("no names")
+
+        def validate(self, source):
+            return False, "not mine"
+
+    class Lines(Broken):
+        def get_sheet_names(self, source):
+            return ["one", "two"]
+
+        def validate(self, source):
+            return True, None
+
+        def parse(self, spark, source, sheet):
+            lines = source.read_bytes().decode("latin-1").split("|")
+            return spark.createDataFrame([(i + 1, f"{x}{sheet if i else ''}") for i, x in enumerate(lines)], "row int, c0 string"), 1
+
+    class Detector:
+        def detect(self, handle):
+            return FormatInfo(FormatType.UNKNOWN, 0.5)
+
+    registry = Registry([Broken()], Detector())
+    with pytest.raises(ValueError):
+        GridBook(io.BytesIO(b"x|a"), registry=registry)
+    registry.register_handler(Lines())
+    with GridBook(io.BytesIO(b"name|a|b"), registry=registry) as found:
+        assert found.sheet_names == ["one", "two"]
+        assert rows(found.to_dataframe("two", SheetConfig(header_detection_mode="manual", header_rows=1))) == [("atwo",), ("btwo",)]
+    with pytest.raises(FormatError, match="not mine"):
+        Registry([Broken()]).read(FormatType.UNKNOWN, spark, None or type("S", (), {"description": "x"})(), "one")
+
+
+def test_wide_sheets_share_expressions_and_agree_with_narrow_ones(spark):
+    from gridloom.operators import normalize as N
+
+    head = [f"Field {i}" for i in range(60)]
+    data = [[f" a{r}  {i}" if i % 4 == 0 else r * i if i % 4 == 1 else f"1.{r}{i},50" if i % 4 == 2 else ("NA" if i < 30 else f"2024-01-{r + 10}") for i in range(60)] for r in range(9)] + [[None] * 60, ["NA"] * 60]
+    wide = read_excel(book([head, *data]))
+    try:
+        N.SHARED, before = 1000, N.SHARED
+        narrow = read_excel(book([head, *data]))
+        assert wide.schema == narrow.schema and rows(wide) == rows(narrow) and len(rows(wide)) == 9
+    finally:
+        N.SHARED = before
+    assert dict(wide.dtypes)["field_1"] == "bigint" and "field_3" not in wide.columns
