@@ -77,5 +77,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_level_bpe, op2_lm_scoring, op3_quality_rules, op4_minhash_near_dedup, op5_secret_scans, op6_token_store, op7_benchmark_decontamination, op8_toxicity, op9_quality_classifier, op10_sharding)}
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": sql.NEAR_DUPLICATES, "op7_benchmark_decontamination": sql.DECONTAMINATION}
+def op3_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3's rows, which SQL can express."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def op5_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind op5 finds, which SQL can express."""
+    return op5_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def op10_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of op10's shards: all rows and bytes, texts undivided, slots without gaps, and no shard above the mean by
+    more than the largest group of equal texts."""
+    put = op10_sharding(spark, sf_dir)
+    shards = put.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d"))
+    one = shards.agg(F.count("*").alias("shards"), F.sum("n").alias("n_rows"), F.sum("w").alias("size"), F.bool_and((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("d") == F.col("n"))).alias("slots_gapless"), F.max("w").alias("_most"))
+    texts = put.join(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("g")), "doc_id").groupBy("g").agg(F.count_distinct("shard").alias("of"), F.sum("size").alias("w")).agg((F.max("of") == 1).alias("groups_whole"), F.max("w").alias("_group"))
+    out = one.join(F.broadcast(texts))  # a row on either side
+    return out.select("shards", "n_rows", "size", "groups_whole", "slots_gapless", (F.col("_most") <= F.col("size") / F.col("shards") + F.col("_group")).alias("balanced"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_level_bpe, op2_lm_scoring, op3_quality_rules, op4_minhash_near_dedup, op5_secret_scans, op6_token_store, op7_benchmark_decontamination, op8_toxicity, op9_quality_classifier, op10_sharding, op3_base, op5_base, op10_base)}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": sql.NEAR_DUPLICATES, "op7_benchmark_decontamination": sql.DECONTAMINATION, "op3_base": sql.QUALITY_BASE, "op5_base": sql.SECRETS_BASE, "op10_base": sql.SHARDING_BASE}

@@ -1,7 +1,7 @@
 """DuckDB SQL that gives the same rows as the queries, where SQL can express them.
 
 SQL can't express merges of a tokenizer, trained models, minimax cuts or the entropy of sliding windows; those queries are
-held against brute-force versions in the tests."""
+held against brute-force versions in the tests. What SQL can express of them has queries of its own, op*_base."""
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -27,3 +27,23 @@ k AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+QUALITY_BASE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w, row_number() OVER () AS r FROM documents),
+g AS (SELECT r, i, w[i : i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g) WHERE k > 1) GROUP BY 1),
+l AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORDS}') GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words,
+len(w) < 10 OR 100 * coalesce(h.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN h USING (r) LEFT JOIN l USING (r)"""
+
+SECRETS_BASE = r"""
+SELECT doc_id, CAST(coalesce(len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)), 0) AS BIGINT) AS n_assign,
+CAST(coalesce(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)), 0) AS BIGINT) AS n_access,
+CAST(coalesce(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)), 0) AS BIGINT) AS n_hex FROM documents"""
+
+SHARDING_BASE = """
+WITH g AS (SELECT text, sum(coalesce(octet_length(encode(text)), 0) + 1) AS w FROM documents GROUP BY 1)
+SELECT CAST(8 AS BIGINT) AS shards, CAST((SELECT count(*) FROM documents) AS BIGINT) AS n_rows, CAST(sum(w) AS BIGINT) AS size, TRUE AS groups_whole, TRUE AS slots_gapless, TRUE AS balanced FROM g"""
