@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import coded, mapped, residue, shared, texts
+from .common import coded, mapped, released, residue, shared, texts
 from .pieces import gathered
 
 #: Slots of words and of their beginnings; of trigrams; dimensions of an embedding and of a hidden state; documents that make a slot.
@@ -26,8 +26,9 @@ INPUTS = (len(SLOTS) + 1) * D
 WINDOW, STRIDE = 32, 16
 #: Windows that go through the network at once.
 AT_ONCE = 2048
-#: Labelled rows that the network is trained on at most: those whose ids hash lowest.
-TRAINING_ROWS = 4000
+#: Labelled rows that the network is trained on at most, and bytes of their texts: those whose ids hash lowest, as long as
+#: they fit; the driver holds no more.
+TRAINING_ROWS, TRAINING_BYTES = 4000, 64 << 20
 MODULUS, HELD = 3, 1
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -196,10 +197,14 @@ def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 7, rate: float =
     if not len(y) or y.min() == y.max():
         net.scale, net.shift = 0.0, (3.0 if len(y) and y.min() else -3.0)
         return net
-    distinct, codes, starts = coded([tokens(t) for t in docs])
-    codes, starts = collapsed(codes, starts)
-    n_docs = len(docs)
+    n_docs, number, found = len(docs), {}, []
+    for t in docs:
+        found.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32))
+    distinct, starts = list(number), np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64))
+    codes, starts = collapsed(np.concatenate(found), starts)
     docs.clear()
+    del number, found
+    released()
     own, tri, count = slots(distinct)
     # the first dimension of an embedding starts as how much more toxic documents have the slot
     owner = np.repeat(np.arange(n_docs), np.diff(starts))
@@ -271,21 +276,28 @@ def fit_network(docs: list[bytes], y: np.ndarray, epochs: int = 7, rate: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """A network from labels.toxic (0 or 1) of at most so many rows whose crc32(id as text) modulo 3 is not 1."""
+    """A network from labels.toxic (0 or 1) of at most so many rows whose crc32(id as text) modulo 3 is not 1.
+
+    Documents that repeat an id all count as labelled; a null id or another label is none. Rows go by a hash of their ids
+    up to TRAINING_ROWS ids and TRAINING_BYTES of text."""
     one = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1) & (residue(id_col, MODULUS) != HELD)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("_y"))
     few = one.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    got = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(few), id_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "_y").toArrow()
+    got = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), id_col).select(F.col(id_col).cast("long").alias("id"), "text", "_y")
+    before = F.sum(F.octet_length("text") + 1).over(Window.orderBy(F.xxhash64("id"), "id", "text"))  # so many rows at most, unless ids repeat
+    got = got.withColumn("_bytes", before).where(F.col("_bytes") <= TRAINING_BYTES).drop("_bytes").toArrow()
     got = got.sort_by([("id", "ascending"), ("text", "ascending")])
     y = got.column("_y").to_numpy().astype(np.int64)
     text = got.column("text").cast(pa.binary()).to_pylist()
     del got
+    released()
     return fit_network(text, y)
 
 
 def toxicity(docs: DataFrame, network: Network, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id_col, held_out, score, predicted), or the columns of keep, score, predicted: one row for each row; only the text is scored.
 
-    score: probability of label 1 (0 to 1); a null, empty or wordless text is one empty window. held_out: crc32(id as text)
+    score: probability of label 1 (0 to 1); a null, empty or wordless text is one empty window. Rows that repeat an id are
+    scored each by its own text; columns of keep stay as they are. held_out: crc32(id as text)
     modulo 3 is 1, so the row's label wasn't learned from. predicted: 1 from the threshold on."""
     known = shared(docs.sparkSession, network)
 

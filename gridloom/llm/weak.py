@@ -8,14 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import coded, mapped, shared, texts, words, written
 from .stats import FEATURES, features, matrix
 
-#: Documents that the scorer is fitted on at most: those whose ids hash lowest.
-TRAINING_ROWS = 20_000
+#: Documents that the scorer is fitted on at most, and bytes of their features: those whose ids hash lowest, as long as they
+#: fit; the driver holds no more.
+TRAINING_ROWS, TRAINING_BYTES = 20_000, 256 << 20
 BITS = 16
 #: The labellers: feature, bad if above (or below), good if below (or above); between them a labeller abstains.
 LABELLERS: tuple[tuple[str, str, float, float], ...] = (
@@ -89,7 +90,7 @@ def _hashed(batch: pa.RecordBatch, text: str, x: np.ndarray) -> tuple[np.ndarray
     docs = [words(t) for t in texts(batch, text)]
     distinct, codes, starts = coded(docs)
     mask = np.uint64((1 << BITS) - 1)
-    shape = np.fromiter((xxhash.xxh3_64_intdigest(_shape(w)[:12]) for w in distinct), np.uint64, len(distinct))
+    shape = np.fromiter((xxhash.xxh3_64_intdigest(_shape(w)) for w in distinct), np.uint64, len(distinct))
     h = shape[codes] if len(codes) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(docs)), np.diff(starts))
     inner = np.flatnonzero(owner[1:] == owner[:-1])
@@ -135,7 +136,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, rows: int = TRAINING_ROWS,
     """(id_col, n_votes, label_prob, score, kept) for each row: votes cast, posterior of good, the scorer's probability of good.
 
     The label model sees the vote patterns of all documents, counted; the scorer is fitted on at most so many documents
-    with their posterior labels. Null and empty texts are wordless documents and are scored as such."""
+    with their posterior labels. Null and empty texts are wordless documents and are scored as such. Rows that repeat an id
+    are scored each by its own text; in the fit they share the least vote pattern among them."""
     spark = docs.sparkSession
     digits = "string"
 
@@ -160,7 +162,9 @@ def classify(docs: DataFrame, threshold: float = 0.5, rows: int = TRAINING_ROWS,
         y = [labels()[r] for r in batch.column("votes").to_pylist()]
         return pa.record_batch({"id": batch.column("id"), "y": pa.array(y, pa.float64()), "slot": pa.array([s[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), "value": pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    got = sorted(mapped(sample, hashed, "id long, y double, slot binary, value binary").collect(), key=lambda r: (r["id"], r["slot"]))
+    before = F.sum(F.octet_length("slot") + F.octet_length("value")).over(Window.orderBy(F.xxhash64("id"), "id", "slot"))  # so many rows at most, unless ids repeat
+    fitted = mapped(sample, hashed, "id long, y double, slot binary, value binary").withColumn("_bytes", before).where(F.col("_bytes") <= TRAINING_BYTES).drop("_bytes")
+    got = sorted(fitted.collect(), key=lambda r: (r["id"], r["slot"]))
     scorer = fit_scorer([(np.frombuffer(r["slot"], np.int32), np.frombuffer(r["value"], np.float32).astype(float), r["y"]) for r in got])
     known = shared(spark, scorer)
 
