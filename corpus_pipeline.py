@@ -25,7 +25,8 @@ SHINGLE, SIMILARITY, WINDOW = 5, 80, 10
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go; the network learns from the labels of the whole documents table."""
+    """Documents that the toxicity operator rejects go, row by row; the network learns from the labels of the whole
+    documents table. Without labels, or with one class of them, it rejects all or nothing alike."""
     network = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity(docs, network, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
@@ -38,18 +39,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go, row by row. Null texts stay, and all do if there is no benchmark."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), WINDOW, keep=COLUMNS).where("n_hit = 0").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts give way to a mark; n_chars follows the text."""
+    """Secrets in the texts give way to a mark; n_chars follows the text. Null texts stay null with their n_chars, empty ones
+    empty; rows that repeat stay rows of their own."""
     clean = redact(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the texts as token ids."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the texts as token ids. Null and empty texts have none; rows that
+    repeat an id, or have none, stay rows of their own."""
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks), "doc_id", keep_ids=True)
 
