@@ -607,3 +607,113 @@ def q51_clean_table(spark: SparkSession, d: str) -> DataFrame:
 
     clean, _ = normalize(messy_lines(spark, d), Normalizer(decimal=".", thousands=","))
     return clean.groupBy("flag").agg(F.count("*").alias("n"), F.sum(F.round(F.col("price") * 100).cast("bigint")).alias("cents"), F.count("status").alias("n_status"), F.date_format(F.min("shipped"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("shipped"), "yyyy-MM-dd").alias("last_day"))
+
+
+# --- workbooks and text tables, from bytes to frames; nation and region have a fixed number of rows at every scale ---
+
+
+def nations(spark: SparkSession, d: str) -> list:
+    return t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_regionkey", "n_nationkey").collect()
+
+
+def workbook(sheets: dict, **more):
+    import io
+
+    from .sources.ooxml import write_workbook
+
+    return io.BytesIO(write_workbook(sheets, **more))
+
+
+def by_region(rows: list) -> dict:
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r["r_name"], [["Nation Key", "Nation Name"]]).append([r["n_nationkey"], f"  {r['n_name']} "])
+    return out
+
+
+@query("SELECT n_nationkey AS nation_key, n_name AS nation_name, n_regionkey AS region_key FROM nation")
+def q52_read_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet with a title above its header and a note below its rows."""
+    from .workbook import read_excel
+
+    rows = [[r["n_nationkey"], f" {r['n_name']}  ", r["n_regionkey"]] for r in nations(spark, d)]
+    return read_excel(workbook({"Nations": [["Nations and their regions"], ["Generated: 2024-01-15"], [], ["Nation Key", "Nation Name", "Region Key"], *rows, [], ["Prepared by: somebody"]]}))
+
+
+@query("SELECT n_name AS nation_name, CAST(n_nationkey * 1000 + 0.5 AS DOUBLE) AS amount FROM nation")
+def q53_read_text_table(spark: SparkSession, d: str) -> DataFrame:
+    """A text table with semicolons, metadata rows, and numbers as 1.000,50."""
+    import io
+
+    from .workbook import read_excel
+
+    lines = [f"{r['n_name']};{r['n_nationkey']}.000,50" if r["n_nationkey"] else f"{r['n_name']};0,50" for r in nations(spark, d)]
+    return read_excel(io.BytesIO("\n".join(["Nation Name;Amount", *lines]).encode("latin-1")))
+
+
+@query("SELECT r_name AS sheet_name, n_nationkey AS nation_key, n_name AS nation_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q54_all_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet for each region, read and put under one another; empty and pivot sheets are left out."""
+    from .multisheet import read_all_sheets, union_all
+
+    return union_all(read_all_sheets(workbook(by_region(nations(spark, d)) | {"Empty": [], "Pivot": [["Row Labels", "Sum of x"], ["a", 1], ["b", 2]]})))
+
+
+@query("SELECT r_name AS name, count(*) AS n_rows, false AS is_pivot FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT 'Pivot', 2, true")
+def q55_sheet_triage(spark: SparkSession, d: str) -> DataFrame:
+    """What a workbook's sheets are, without reading them into frames; rows without the header."""
+    from .multisheet import analyze_excel
+
+    found = analyze_excel(workbook(by_region(nations(spark, d)) | {"Pivot": [["Row Labels", "Sum of x"], ["a", 1], ["b", 2]]}))
+    return spark.createDataFrame([(i.name, i.row_count - 1, i.is_pivot) for i in found], "name string, n_rows long, is_pivot boolean")
+
+
+@query("SELECT n_regionkey AS region, n_name AS nation FROM nation WHERE n_nationkey % 5 <> 0")
+def q56_merged_and_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as merged cells beside their nations, every fifth nation hidden."""
+    from .workbook import read_excel
+
+    rows = nations(spark, d)
+    cells, merges, hidden, begin = [["Region", "Nation"]], [], [], 2
+    for i, r in enumerate(rows):
+        new = not i or rows[i - 1]["n_regionkey"] != r["n_regionkey"]
+        begin = i + 2 if new else begin
+        cells.append([r["n_regionkey"] if new else None, r["n_name"]])
+        if (i + 1 == len(rows) or rows[i + 1]["n_regionkey"] != r["n_regionkey"]) and i + 2 > begin:
+            merges.append(f"A{begin}:A{i + 2}")
+        if r["n_nationkey"] % 5 == 0:
+            hidden.append(i + 2)
+    return read_excel(workbook({"S": cells}, merges={"S": merges}, hidden_rows={"S": hidden}), header_detection_mode="manual")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) + 1 AS BIGINT) AS at, n_nationkey AS a, n_name AS b FROM nation")
+def q57_cells_and_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A range of cells by its address, row by row."""
+    from .workbook import GridBook
+
+    rows = nations(spark, d)
+    with GridBook(workbook({"My Sheet": [["Key", "Name"], *([r["n_nationkey"], r["n_name"]] for r in rows)]}), spark=spark) as book:
+        found = book["My Sheet"][f"$A$2:B{len(rows) + 1}"]
+        first = book.get_cell_by_ref("'My Sheet'!B2").value
+    assert first == found[0][1]
+    return spark.createDataFrame([(i + 2, a, b) for i, (a, b) in enumerate(found)], "at long, a long, b string")
+
+
+@query("SELECT r_regionkey AS k, CAST(sum(r_regionkey) OVER (ORDER BY r_regionkey) * 10 + 1 AS BIGINT) AS v FROM region")
+def q58_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas over ranges, evaluated without cached values."""
+    from .workbook import GridBook
+
+    keys = [r["r_regionkey"] for r in t(spark, d, "region").orderBy("r_regionkey").collect()]
+    with GridBook(workbook({"F": [["k", "v"], *([k, f"=SUM(A2:A{i + 2})*10+1"] for i, k in enumerate(keys))]}), spark=spark) as book:
+        found = [(k, int(book.get_cell("F", i + 2, 2).value)) for i, k in enumerate(keys)]
+    return spark.createDataFrame(found, "k long, v long")
+
+
+@query("SELECT n_name AS sheet, 'de_DE' AS locale FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name, 'en_US' FROM nation WHERE n_nationkey % 2 = 1")
+def q59_sheet_locales(spark: SparkSession, d: str) -> DataFrame:
+    """Locales by the texts near a region's start, over all sheets at once."""
+    rows = t(spark, d, "nation").select(F.col("n_name").alias("sheet"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("row"), (F.col("n_nationkey") % 2 == 0).alias("_eu"))
+    text = F.when(F.col("_eu"), F.concat(F.lit("1."), (F.col("row") + 100).cast("string"), F.lit(",50"))).otherwise(F.concat(F.lit("1,"), (F.col("row") + 100).cast("string"), F.lit(".50")))
+    cells = rows.select("sheet", "row", F.lit(1).alias("col"), F.lit("s").alias("ctype"), text.alias("s"), F.lit(None).cast("string").alias("number_format"))
+    return detect.locales(cells, ["sheet"]).select("sheet", "locale")
